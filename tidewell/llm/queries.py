@@ -4,14 +4,33 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import minhash
+from . import bpe, minhash, packing
 from .common import table
 
+#: Where the public vocabulary files lie; a parameter of the operators.
+WORD_BPE = "word_bpe_49k.json"
+
+
+def tokenizer_path(name: str = WORD_BPE) -> str:
+    import public_tokenizers
+
+    return public_tokenizers.path(name)
+
 
 def op1_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Near-duplicate groups of all documents by 2-word shingles at 0.8."""
     return minhash.near_duplicates(table(spark, sf_dir, "documents"), shingle_words=2)
 
 
-QUERIES = {"op1_minhash_near_dedup": op1_minhash_near_dedup}
+def op3_bpe_codec(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Token and round-trip digests of all documents."""
+    return bpe.token_digests(table(spark, sf_dir, "documents"), tokenizer_path())
+
+
+def op10_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All documents packed into sequences of 2048 tokens."""
+    return packing.packed(table(spark, sf_dir, "documents"), tokenizer_path())
+
+
+QUERIES = {f.__name__: f for f in (op1_minhash_near_dedup, op3_bpe_codec, op10_best_fit_packing)}
 ORACLES: dict[str, str] = {}
