@@ -70,13 +70,6 @@ def band_keys(sketch: np.ndarray, bands: int, rows: int) -> np.ndarray:
     return key.view(np.int64)
 
 
-def word_set(text: str | None, k: int) -> set:
-    words = (text or "").encode("utf-8", "surrogatepass").lower().split()
-    if not words:
-        return set()
-    return set(zip(*(words[i:] for i in range(k)))) if len(words) >= k else {tuple(words)}
-
-
 def _features(k: int, bands: int, rows: int):
     schema = pa.schema([("doc_id", pa.int64()), ("n_shingles", pa.int64()), ("h1", pa.int64()), ("h2", pa.int64()), ("bands", pa.list_(pa.int64()))])
 
@@ -96,38 +89,86 @@ def _features(k: int, bands: int, rows: int):
     return run
 
 
-def _confirm(k: int, percent: int):
-    schema = pa.schema([("a", pa.int64()), ("b", pa.int64())])
+def _compared(k: int, percent: int, slice_rows: int = 256):
+    """Pairs with texts (sorted by b) -> each pair's link and how a differs from b: |b minus a| and the hashes that only one has."""
+    schema = pa.schema([("a", pa.int64()), ("b", pa.int64()), ("linked", pa.bool_()), ("n_a", pa.int64()), ("n_b", pa.int64()), ("removed", pa.int64()), ("delta", pa.binary())])
 
     def run(batches):
-        last, last_set = None, set()
-        for batch in batches:
-            a, b = batch.column("a").to_pylist(), batch.column("b").to_pylist()
-            ta, tb, good = batch.column("ta"), batch.column("tb"), []
-            for i, pair in enumerate(zip(a, b)):
-                if pair[1] != last:
-                    last, last_set = pair[1], word_set(tb[i].as_py(), k)
-                mine = word_set(ta[i].as_py(), k)
-                common = len(mine & last_set)
-                if 100 * common >= percent * (len(mine) + len(last_set) - common):
-                    good.append(pair)
-            yield pa.record_batch([pa.array([x for x, _ in good], pa.int64()), pa.array([y for _, y in good], pa.int64())], schema=schema)
+        for whole in batches:
+            for start in range(0, whole.num_rows, slice_rows):
+                batch = whole.slice(start, slice_rows)
+                b = batch.column("b").to_pylist()
+                new = [i for i in range(len(b)) if i == 0 or b[i] != b[i - 1]]
+                texts = [t.encode("utf-8", "surrogatepass") for t in (*batch.column("ta").to_pylist(), *batch.column("tb").take(pa.array(new)).to_pylist())]
+                elements, at = shingle_sets(texts, k)
+                which = np.cumsum(np.isin(np.arange(len(b)), new)) - 1 + len(b)
+                rows = []
+                for i, j in enumerate(which):
+                    mine, other = elements[at[i] : at[i + 1]], elements[at[j] : at[j + 1]]
+                    delta = np.setxor1d(mine, other, assume_unique=True)
+                    common = (len(mine) + len(other) - len(delta)) // 2
+                    rows.append((100 * common >= percent * (common + len(delta)), len(mine), len(other), len(other) - common, delta.tobytes()))
+                yield pa.record_batch([batch.column("a"), batch.column("b"), *(pa.array(c, f.type) for c, f in zip(zip(*rows), list(schema)[2:]))], schema=schema)
+
+    return run
+
+
+COMPARED = "a long, b long, linked boolean, n_a long, n_b long, removed long, delta binary"
+
+
+def _across(percent: int):
+    """Links between one block of outsiders and one block of members of a leader's group, by what each changes in the leader's set:
+    |x and y| = |leader| - |removed x| - |removed y| + |delta x and delta y|."""
+    schema = pa.schema([("a", pa.int64()), ("b", pa.int64())])
+
+    def run(table: pa.Table) -> pa.Table:
+        outside = table.column("outside").to_numpy(zero_copy_only=False).astype(bool)
+        cols = {n: table.column(n).to_numpy() for n in ("node", "root", "n_a", "n_b", "removed")}
+        deltas = [np.frombuffer(d, dtype=np.uint64) for d in table.column("delta").to_pylist()]
+        x, y = np.flatnonzero(outside), np.flatnonzero(~outside)
+        links: list[tuple] = []
+        if len(x) and len(y):
+            sides = []
+            for rows in (x, y):
+                size = [len(deltas[i]) for i in rows]
+                sides.append((np.concatenate([deltas[i] for i in rows]), np.repeat(np.arange(len(rows)), size)))
+            shared = np.intersect1d(sides[0][0], sides[1][0])
+            both = np.zeros((len(x), len(y)), dtype=np.float32)
+            for start in range(0, len(shared), 4096):
+                part = shared[start : start + 4096]
+                dense = []
+                for (values, owner), rows in zip(sides, (x, y)):
+                    spot = np.searchsorted(part, values)
+                    hit = (spot < len(part)) & (part[np.minimum(spot, len(part) - 1)] == values)
+                    m = np.zeros((len(rows), len(part)), dtype=np.float32)
+                    m[owner[hit], spot[hit]] = 1
+                    dense.append(m)
+                both += dense[0] @ dense[1].T
+            common = cols["n_b"][x][:, None] - cols["removed"][x][:, None] - cols["removed"][y] + np.rint(both).astype(np.int64)
+            union = cols["n_a"][x][:, None] + cols["n_a"][y] - common
+            found = np.argwhere((100 * common >= percent * union) & (cols["root"][x][:, None] != cols["root"][y]))
+            seen = set()
+            for i, j in found:  # one link to each component is enough
+                if (key := (i, cols["root"][y[j]])) not in seen:
+                    seen.add(key)
+                    links.append((int(cols["node"][x[i]]), int(cols["node"][y[j]])))
+        return pa.table([pa.array([a for a, _ in links], pa.int64()), pa.array([b for _, b in links], pa.int64())], schema=schema)
 
     return run
 
 
-def near_duplicates(docs: DataFrame, shingle_words: int = 5, percent: int = 80, bands: int = 36, rows: int = 6) -> DataFrame:
+def near_duplicates(docs: DataFrame, shingle_words: int = 5, percent: int = 80, bands: int = 36, rows: int = 6, block_outside: int = 512, block_members: int = 2048) -> DataFrame:
     """One row per row of `docs` (doc_id, text): doc_id, n_shingles, component_id, kept.
 
     Texts whose word-shingle sets have 100 * intersection >= percent * union are linked, if a band of
     their sketches agrees (a pair at 0.8 shares none of 36 bands of 6 with probability 2e-5) and the
     full sets confirm it. component_id is the smallest doc_id that a document reaches.
 
-    Texts with equal sets are one node from the start. In each bucket of equal bands, every node is
-    first compared with the bucket's smallest; then, in buckets that still hold several components,
-    every node outside the largest-reaching one is compared with the members of other components. So
-    no link between buckets' members is lost, and a group of near copies costs one comparison for
-    each member, not one for each pair.
+    Texts with equal sets are one node from the start. In each bucket of equal bands every node is first
+    compared with the bucket's smallest, its leader: one comparison for each member, not one for each
+    pair. Then, in leaders' groups that still hold several components, those outside the leader's are
+    held against all others there, block by block inside tasks, from what each changes in the leader's
+    set. So no link between two members of a bucket is lost, and no pair but a link becomes a row.
 
     Nulls and empty or blank texts: an empty set, linked with nothing, kept. A null doc_id: component
     null, kept. Repeated rows: each is returned. Other columns are ignored.
@@ -135,32 +176,30 @@ def near_duplicates(docs: DataFrame, shingle_words: int = 5, percent: int = 80,
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     features = stored(docs.mapInArrow(_features(shingle_words, bands, rows), "doc_id long, n_shingles long, h1 long, h2 long, bands array<long>"), "features")
     nodes = features.where("n_shingles > 0 AND doc_id IS NOT NULL").groupBy("h1", "h2").agg(F.min("doc_id").alias("node"))
-    spread = features.join(nodes.select(F.col("node").alias("doc_id")), "doc_id", "left_semi").select(F.col("doc_id").alias("node"), "n_shingles", F.explode("bands").alias("band"))
+    spread = features.join(nodes.select(F.col("node").alias("doc_id")), "doc_id", "left_semi").select(F.col("doc_id").alias("node"), F.explode("bands").alias("band"))
     shared = spread.groupBy("band").agg(F.min("node").alias("leader"), F.max("node").alias("last")).where("leader < last")
-    members = stored(spread.join(shared.select("band", "leader"), "band").select("band", "node", "n_shingles", "leader"), "members")
-
-    texts = docs.join(members.select(F.col("node").alias("doc_id")).distinct(), "doc_id", "left_semi").dropDuplicates(["doc_id"])
-
-    def confirmed(pairs: DataFrame) -> DataFrame:
-        """The pairs (a, b) whose sets are similar enough; sorted by b inside a task, so that b's set is made once."""
-        left = pairs.join(texts.select(F.col("doc_id").alias("a"), F.col("text").alias("ta")), "a")
-        return left.join(texts.select(F.col("doc_id").alias("b"), F.col("text").alias("tb")), "b").select("a", "b", "ta", "tb").mapInArrow(_confirm(shingle_words, percent), "a long, b long")
-
-    size = members.groupBy("node").agg(F.max("n_shingles").alias("n"))
-    star = members.where("node <> leader").select(F.col("node").alias("a"), F.col("leader").alias("b")).distinct()
-    edges = stored(confirmed(star), "edges")
+    star = stored(spread.join(shared.select("band", "leader"), "band").where("node <> leader").select(F.col("node").alias("a"), F.col("leader").alias("b")).distinct(), "star")
+
+    ids = star.select(F.col("a").alias("doc_id")).unionByName(star.select(F.col("b").alias("doc_id"))).distinct()
+    texts = docs.join(ids, "doc_id", "left_semi").dropDuplicates(["doc_id"])
+    left = star.join(texts.select(F.col("doc_id").alias("a"), F.col("text").alias("ta")), "a")
+    pairs = left.join(texts.select(F.col("doc_id").alias("b"), F.col("text").alias("tb")), "b").select("a", "b", "ta", "tb")
+    compared = stored(pairs.mapInArrow(_compared(shingle_words, percent), COMPARED), "compared")
+    edges = compared.where("linked").select("a", "b")
     roots = stored(components(edges), "roots")
 
-    placed = members.join(roots, "node", "left").select("band", "node", "leader", F.col("n_shingles").alias("n"), F.coalesce("root", "node").alias("root"))
-    mixed_ = placed.groupBy("band").agg(F.min("root").alias("low"), F.max("root").alias("high")).where("low < high").select("band")
-    rest = stored(placed.join(mixed_, "band"), "rest")
-    if not rest.isEmpty():
-        home = rest.where("node = leader").select("band", F.col("root").alias("home")).dropDuplicates(["band"])
-        outside = rest.join(home, "band").where("root <> home").select("band", F.col("node").alias("a"), F.col("root").alias("ra"), F.col("n").alias("na"))
-        pairs = outside.join(rest.where("node <> leader").select("band", F.col("node").alias("b"), F.col("root").alias("rb"), F.col("n").alias("nb")), "band").where("ra <> rb").where(100 * F.least("na", "nb") >= percent * F.greatest("na", "nb"))
-        more = stored(confirmed(pairs.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct()), "more")
-        if not more.isEmpty():
-            roots = stored(components(edges.unionByName(more)), "roots")
+    mine, leaders = roots.select(F.col("node").alias("a"), F.col("root").alias("ra")), roots.select(F.col("node").alias("b"), F.col("root").alias("rb"))
+    placed = compared.join(mine, "a", "left").join(leaders, "b", "left").select("a", "b", F.coalesce("ra", "a").alias("root"), F.coalesce("rb", "b").alias("home"), "n_a", "n_b", "removed", "delta")
+    outside = F.col("root") != F.col("home")
+    sizes = placed.groupBy("b").agg(F.count_if(outside).alias("n_out"), F.count("*").alias("n_all")).where("n_out > 0 AND n_all > 1")
+    cut = placed.join(sizes.select("b", F.ceil(F.col("n_out") / block_outside).alias("rows"), F.ceil(F.col("n_all") / block_members).alias("cols")), "b").withColumn("outside", outside)
+    spot = lambda n: F.pmod(F.xxhash64("a"), F.col(n))
+    keep = ["b", "r", "c", "outside", F.col("a").alias("node"), "root", "n_a", "n_b", "removed", "delta"]
+    first = cut.where("outside").withColumn("r", spot("rows")).withColumn("c", F.explode(F.sequence(F.lit(0).cast("long"), F.col("cols") - 1))).select(*keep)
+    second = cut.withColumn("c", spot("cols")).withColumn("r", F.explode(F.sequence(F.lit(0).cast("long"), F.col("rows") - 1))).withColumn("outside", F.lit(False)).select(*keep)
+    more = stored(first.unionByName(second).groupBy("b", "r", "c").applyInArrow(_across(percent), "a long, b long"), "more")
+    if not more.isEmpty():
+        roots = stored(components(edges.unionByName(more)), "roots")
 
     of_set = nodes.join(roots, "node", "left").select("h1", "h2", F.coalesce("root", "node").alias("root"))
     out = features.select("doc_id", "n_shingles", "h1", "h2").join(of_set, ["h1", "h2"], "left")
