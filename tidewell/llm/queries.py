@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, minhash, packing
+from . import bpe, minhash, packing, repetition
 from .common import table
 
 #: Where the public vocabulary files lie; a parameter of the operators.
@@ -22,6 +22,11 @@ def op1_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return minhash.near_duplicates(table(spark, sf_dir, "documents"), shingle_words=2)
 
 
+def op2_suffix_repetition(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Repetition rules on all documents."""
+    return repetition.judged(table(spark, sf_dir, "documents"))
+
+
 def op3_bpe_codec(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Token and round-trip digests of all documents."""
     return bpe.token_digests(table(spark, sf_dir, "documents"), tokenizer_path())
@@ -32,5 +37,5 @@ def op10_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.packed(table(spark, sf_dir, "documents"), tokenizer_path())
 
 
-QUERIES = {f.__name__: f for f in (op1_minhash_near_dedup, op3_bpe_codec, op10_best_fit_packing)}
+QUERIES = {f.__name__: f for f in (op1_minhash_near_dedup, op2_suffix_repetition, op3_bpe_codec, op10_best_fit_packing)}
 ORACLES: dict[str, str] = {}
