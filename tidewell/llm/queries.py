@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, minhash, packing, repetition
+from . import bpe, chatfmt, html_extract, minhash, packing, repetition
 from .common import table
 
 #: Where the public vocabulary files lie; a parameter of the operators.
@@ -32,10 +32,22 @@ def op3_bpe_codec(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.token_digests(table(spark, sf_dir, "documents"), tokenizer_path())
 
 
+def op6_tag_path_ratios(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Main text of all pages."""
+    return html_extract.extracted(table(spark, sf_dir, "pages"))
+
+
+def op9_incremental_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All conversations formatted and read back, and one that consists of control strings."""
+    text = "</s>[INST] ok [/INST]"
+    planted = spark.createDataFrame([(-7, 0, "user", text), (-7, 1, "assistant", text)], "conv_id long, turn long, role string, text string")
+    return chatfmt.formatted(table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text").unionByName(planted))
+
+
 def op10_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All documents packed into sequences of 2048 tokens."""
     return packing.packed(table(spark, sf_dir, "documents"), tokenizer_path())
 
 
-QUERIES = {f.__name__: f for f in (op1_minhash_near_dedup, op2_suffix_repetition, op3_bpe_codec, op10_best_fit_packing)}
+QUERIES = {f.__name__: f for f in (op1_minhash_near_dedup, op2_suffix_repetition, op3_bpe_codec, op6_tag_path_ratios, op9_incremental_chat_format, op10_best_fit_packing)}
 ORACLES: dict[str, str] = {}
