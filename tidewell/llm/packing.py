@@ -16,34 +16,18 @@ import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
-from tokenizers import Tokenizer
 
-from .bpe import Bpe, raw_texts
+from .bpe import loaded, raw_texts
 from .common import stored
 
 
-class LibraryBpe(Bpe):
-    """The same chunks and pre-tokens, each distinct one encoded by the tokenizers library."""
-
-    def __init__(self, path: str):
-        super().__init__(path)
-        self.model = Tokenizer.from_file(path).model
-
-    def _word(self, word: str) -> bytes:
-        text = "".join(map(self.letters.__getitem__, word.encode("utf-8")))
-        return np.array([t.id for t in self.model.tokenize(text)], dtype="<u4").tobytes()
-
-
-_loaded: dict[str, LibraryBpe] = {}
-
-
 def _pieces(path: str, capacity: int, end_id: int):
     names = ["doc_id", "piece", "start", "length", "ids_crc32", "part", "nth"]
     schema = pa.schema([("doc_id", pa.int64()), ("piece", pa.int32()), ("start", pa.int64()), ("length", pa.int64()), ("ids_crc32", pa.int64()), ("part", pa.int32()), ("nth", pa.int64())])
     end = np.array([end_id], dtype="<u4").tobytes()
 
     def run(batches):
-        bpe = _loaded.get(path) or _loaded.setdefault(path, LibraryBpe(path))
+        bpe = loaded(path)
         part = TaskContext.get().partitionId()
         seen = [0] * (capacity + 1)
         for batch in batches:
