@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, chatfmt, html_extract, minhash, packing, repetition
+from . import bpe, chatfmt, html_extract, langid, minhash, packing, repetition
 from .common import table
 
 #: Where the public vocabulary files lie; a parameter of the operators.
@@ -37,6 +37,11 @@ def op6_tag_path_ratios(spark: SparkSession, sf_dir: str) -> DataFrame:
     return html_extract.extracted(table(spark, sf_dir, "pages"))
 
 
+def op8_kneser_ney_langid(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Language of all documents."""
+    return langid.identified(table(spark, sf_dir, "documents"))
+
+
 def op9_incremental_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All conversations formatted and read back, and one that consists of control strings."""
     text = "</s>[INST] ok [/INST]"
@@ -49,5 +54,5 @@ def op10_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.packed(table(spark, sf_dir, "documents"), tokenizer_path())
 
 
-QUERIES = {f.__name__: f for f in (op1_minhash_near_dedup, op2_suffix_repetition, op3_bpe_codec, op6_tag_path_ratios, op9_incremental_chat_format, op10_best_fit_packing)}
+QUERIES = {f.__name__: f for f in (op1_minhash_near_dedup, op2_suffix_repetition, op3_bpe_codec, op6_tag_path_ratios, op8_kneser_ney_langid, op9_incremental_chat_format, op10_best_fit_packing)}
 ORACLES: dict[str, str] = {}
