@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, chatfmt, html_extract, langid, minhash, packing, repetition
+from . import bpe, chatfmt, html_extract, langid, minhash, packing, repetition, suffix_dedup
 from .common import table
 
 #: Where the public vocabulary files lie; a parameter of the operators.
@@ -32,6 +32,11 @@ def op3_bpe_codec(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.token_digests(table(spark, sf_dir, "documents"), tokenizer_path())
 
 
+def op4_suffix_array_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Strings of 100 bytes that stand earlier, removed from all documents."""
+    return suffix_dedup.removal_digests(table(spark, sf_dir, "documents"))
+
+
 def op6_tag_path_ratios(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Main text of all pages."""
     return html_extract.extracted(table(spark, sf_dir, "pages"))
@@ -54,5 +59,5 @@ def op10_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.packed(table(spark, sf_dir, "documents"), tokenizer_path())
 
 
-QUERIES = {f.__name__: f for f in (op1_minhash_near_dedup, op2_suffix_repetition, op3_bpe_codec, op6_tag_path_ratios, op8_kneser_ney_langid, op9_incremental_chat_format, op10_best_fit_packing)}
+QUERIES = {f.__name__: f for f in (op1_minhash_near_dedup, op2_suffix_repetition, op3_bpe_codec, op4_suffix_array_dedup, op6_tag_path_ratios, op8_kneser_ney_langid, op9_incremental_chat_format, op10_best_fit_packing)}
 ORACLES: dict[str, str] = {}
