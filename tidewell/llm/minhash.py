@@ -157,7 +157,7 @@ def _across(percent: int):
     return run
 
 
-def near_duplicates(docs: DataFrame, shingle_words: int = 5, percent: int = 80, bands: int = 36, rows: int = 6, block_outside: int = 512, block_members: int = 2048) -> DataFrame:
+def near_duplicates(docs: DataFrame, shingle_words: int = 5, percent: int = 80, bands: int = 36, rows: int = 6, block_outside: int = 512, block_members: int = 2048, broadcast_pairs: int = 1_000_000) -> DataFrame:
     """One row per row of `docs` (doc_id, text): doc_id, n_shingles, component_id, kept.
 
     Texts whose word-shingle sets have 100 * intersection >= percent * union are linked, if a band of
@@ -181,9 +181,11 @@ def near_duplicates(docs: DataFrame, shingle_words: int = 5, percent: int = 80,
     star = stored(spread.join(shared.select("band", "leader"), "band").where("node <> leader").select(F.col("node").alias("a"), F.col("leader").alias("b")).distinct(), "star")
 
     ids = star.select(F.col("a").alias("doc_id")).unionByName(star.select(F.col("b").alias("doc_id"))).distinct()
+    if star.count() <= broadcast_pairs:  # so at most twice as many ids of 8 bytes; beyond, whole texts are shuffled once
+        ids = F.broadcast(ids)
     texts = docs.join(ids, "doc_id", "left_semi").dropDuplicates(["doc_id"])
-    left = star.join(texts.select(F.col("doc_id").alias("a"), F.col("text").alias("ta")), "a")
-    pairs = left.join(texts.select(F.col("doc_id").alias("b"), F.col("text").alias("tb")), "b").select("a", "b", "ta", "tb")
+    left = star.hint("merge").join(texts.select(F.col("doc_id").alias("a"), F.col("text").alias("ta")), "a")
+    pairs = left.hint("merge").join(texts.select(F.col("doc_id").alias("b"), F.col("text").alias("tb")), "b").select("a", "b", "ta", "tb")
     compared = stored(pairs.mapInArrow(_compared(shingle_words, percent), COMPARED), "compared")
     edges = compared.where("linked").select("a", "b")
     roots = stored(components(edges), "roots")
