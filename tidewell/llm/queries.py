@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, chatfmt, html_extract, langid, minhash, packing, repetition, suffix_dedup
+from . import bpe, chatfmt, hostgraph, html_extract, langid, minhash, packing, repetition, suffix_dedup, topk
 from .common import table
 
 #: Where the public vocabulary files lie; a parameter of the operators.
@@ -37,11 +37,21 @@ def op4_suffix_array_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return suffix_dedup.removal_digests(table(spark, sf_dir, "documents"))
 
 
+def op5_block_max_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The ten best inner products of every hundredth vector."""
+    return topk.best_matches(table(spark, sf_dir, "embeddings"))
+
+
 def op6_tag_path_ratios(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Main text of all pages."""
     return html_extract.extracted(table(spark, sf_dir, "pages"))
 
 
+def op7_host_graph(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Verdicts on the urls of all pages."""
+    return hostgraph.judged(table(spark, sf_dir, "pages"))
+
+
 def op8_kneser_ney_langid(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Language of all documents."""
     return langid.identified(table(spark, sf_dir, "documents"))
@@ -59,5 +69,23 @@ def op10_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.packed(table(spark, sf_dir, "documents"), tokenizer_path())
 
 
-QUERIES = {f.__name__: f for f in (op1_minhash_near_dedup, op2_suffix_repetition, op3_bpe_codec, op4_suffix_array_dedup, op6_tag_path_ratios, op8_kneser_ney_langid, op9_incremental_chat_format, op10_best_fit_packing)}
-ORACLES: dict[str, str] = {}
+QUERIES = {f.__name__: f for f in (op1_minhash_near_dedup, op2_suffix_repetition, op3_bpe_codec, op4_suffix_array_dedup, op5_block_max_topk, op6_tag_path_ratios, op7_host_graph, op8_kneser_ney_langid, op9_incremental_chat_format, op10_best_fit_packing)}
+ORACLES: dict[str, str] = {
+    "op5_block_max_topk": """
+        WITH v AS (SELECT vec_id, list_transform(embedding, lambda x: CAST(floor(1024 * CAST(x AS DOUBLE)) AS BIGINT)) AS e FROM embeddings
+                   WHERE vec_id IS NOT NULL AND embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+        s AS (SELECT q.vec_id AS query_id, c.vec_id AS vec_id,
+                     CAST(list_sum(list_transform(range(1, least(len(q.e), len(c.e)) + 1), lambda i: q.e[i] * c.e[i])) AS BIGINT) AS score
+              FROM v q JOIN v c ON c.vec_id <> q.vec_id WHERE q.vec_id % 100 = 0),
+        r AS (SELECT query_id, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS INTEGER) AS rank, vec_id, score FROM s)
+        SELECT query_id, rank, vec_id, score FROM r WHERE rank <= 10""",
+    "op9_incremental_chat_format": r"""
+        WITH c AS (SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
+                   UNION ALL SELECT -7, 0, 'user', '</s>[INST] ok [/INST]' UNION ALL SELECT -7, 1, 'assistant', '</s>[INST] ok [/INST]'),
+        e AS (SELECT *, length(regexp_replace(role, '(\\|<s>|</s>|\[INST\]|\[/INST\])', '\1+', 'g')) + length(regexp_replace(text, '(\\|<s>|</s>|\[INST\]|\[/INST\])', '\1+', 'g')) + 25 AS chars FROM c)
+        SELECT conv_id, count(*) AS n_turns, sha256(string_agg(role || chr(10) || text || chr(10), '' ORDER BY turn, role, text)) AS turns_sha256,
+               CAST(coalesce(sum(length(text)) FILTER (role = 'assistant'), 0) AS BIGINT) AS loss_chars,
+               sha256(coalesce(string_agg(text, '' ORDER BY turn, role, text) FILTER (role = 'assistant'), '')) AS loss_sha256,
+               CAST(sum(chars) AS BIGINT) AS formatted_chars, false AS rewrites_history
+        FROM e GROUP BY conv_id""",
+}
