@@ -27,7 +27,7 @@ from .common import byte_codes, mixed, prefix_hash, powers, stored
 
 _U = np.uint64
 _PLACE_BITS = 28
-SEGMENT = 4 << 20
+SEGMENT = 1 << 20
 
 
 def minimizer_runs(pieces: list[bytes], length: int, k: int) -> tuple[np.ndarray, ...]:
@@ -242,7 +242,7 @@ def _spans(length: int):
     return run
 
 
-def repeated_spans(docs: DataFrame, length: int = 100, k: int = 32, batch_windows: int = 1 << 17, fan_in: int = 256) -> DataFrame:
+def repeated_spans(docs: DataFrame, length: int = 100, k: int = 32, batch_windows: int = 1 << 15, fan_in: int = 256) -> DataFrame:
     """doc_id, text, begins, ends: the byte spans of each document of `docs` (doc_id, text) that are covered by a string of
     `length` bytes that also starts earlier (smaller doc_id, or same document and smaller start); documents without any are left out.
 
