@@ -221,7 +221,7 @@ def _merged(length: int, batch_windows: int, ship: bool):
 
 def _spans(length: int):
     """Documents with what matched in them -> the same with maximal spans of removed bytes."""
-    schema = pa.schema([("doc_id", pa.int64()), ("text", pa.string()), ("begins", pa.list_(pa.int64())), ("ends", pa.list_(pa.int64()))])
+    schema = pa.schema([("doc_id", pa.int64()), ("print", pa.binary()), ("text", pa.string()), ("begins", pa.list_(pa.int64())), ("ends", pa.list_(pa.int64()))])
 
     def run(batches):
         for batch in batches:
@@ -237,26 +237,44 @@ def _spans(length: int):
                         e.append(stop)
                 begins.append(b)
                 ends.append(e)
-            yield pa.record_batch([batch.column("doc_id"), batch.column("text"), pa.array(begins, schema.field("begins").type), pa.array(ends, schema.field("ends").type)], schema=schema)
+            yield pa.record_batch([batch.column("doc_id"), batch.column("print"), batch.column("text"), pa.array(begins, schema.field("begins").type), pa.array(ends, schema.field("ends").type)], schema=schema)
 
     return run
 
 
-def repeated_spans(docs: DataFrame, length: int = 100, k: int = 32, batch_windows: int = 1 << 15, fan_in: int = 256) -> DataFrame:
-    """doc_id, text, begins, ends: the byte spans of each document of `docs` (doc_id, text) that are covered by a string of
-    `length` bytes that also starts earlier (smaller doc_id, or same document and smaller start); documents without any are left out.
+def prepared(docs: DataFrame) -> DataFrame:
+    docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
+    return docs.withColumn("print", F.unhex(F.md5(F.coalesce("text", F.lit("")))))
+
+
+def filtered(docs: DataFrame, ids: DataFrame, keys: list, how: str, most: int = 1_000_000) -> DataFrame:
+    """docs by semi or anti join with few ids; broadcast behind a check of their number, else the texts are shuffled."""
+    return docs.join(F.broadcast(ids) if ids.count() <= most else ids, keys, how)
+
+
+def whole_copies(docs: DataFrame, length: int = 100) -> DataFrame:
+    """(doc_id, print) of the documents from prepared() whose whole text, of `length` bytes at least, is that of a smaller doc_id: all of it stands earlier."""
+    long = docs.where(f"doc_id IS NOT NULL AND octet_length(text) >= {length}").select("doc_id", "print")
+    firsts = long.groupBy("print").agg(F.min("doc_id").alias("first"), F.max("doc_id").alias("last")).where("first < last").select("print", "first")
+    return stored(long.join(firsts, "print").where("doc_id > first").select("doc_id", "print").distinct(), "copies")
+
+
+def repeated_spans(docs: DataFrame, copies: DataFrame, length: int = 100, k: int = 32, batch_windows: int = 1 << 15, fan_in: int = 256) -> DataFrame:
+    """doc_id, print, text, begins, ends: the byte spans of each document of `docs` (from prepared()) that are covered by a string of
+    `length` bytes that also starts earlier (smaller doc_id, or same document and smaller start). Left out: documents without any, and
+    whole copies, whose strings all stand in their first one.
 
     Nulls, texts shorter than `length` and rows with a null doc_id: no spans. Rows repeated with the
     same doc_id are one document: its strings don't stand earlier than themselves.
     """
     spark = docs.sparkSession
-    docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).where(f"doc_id IS NOT NULL AND octet_length(text) >= {length}")
-    anchors = docs.mapInArrow(_anchors(length, k), "anchor long, doc_id long, many boolean")
+    docs = filtered(docs.where(f"doc_id IS NOT NULL AND octet_length(text) >= {length}"), copies, ["doc_id", "print"], "left_anti")
+    anchors = docs.select("doc_id", "text").mapInArrow(_anchors(length, k), "anchor long, doc_id long, many boolean")
     counted = anchors.groupBy("anchor").agg(F.count("*").alias("docs"), F.max("many").alias("many")).where("docs > 1 OR many").select("anchor")
     wanted = stored(anchors.join(counted, "anchor").groupBy("doc_id").agg(F.collect_set("anchor").alias("anchors")), "anchors")
     total = wanted.agg(F.sum(F.size("anchors"))).first()[0] or 0
-    candidates = stored(docs.join(wanted, "doc_id"), "candidates")
-    rows = candidates.mapInArrow(_cut(length, k, batch_windows), RUNS_SQL)
+    candidates = stored(filtered(docs, wanted.select("doc_id"), ["doc_id"], "left_semi").join(wanted, "doc_id"), "candidates")
+    rows = candidates.select("doc_id", "text", "anchors").mapInArrow(_cut(length, k, batch_windows), RUNS_SQL)
     buckets = max(1, math.ceil(total * (length - k) / 2 / (4 * batch_windows)))
     bucket = F.when(F.col("bytes").isNotNull(), F.pmod("anchor", F.lit(buckets))).otherwise(F.pmod(F.xxhash64("doc_id", "start"), F.lit(buckets)))
     parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), candidates.rdd.getNumPartitions())
@@ -265,8 +283,9 @@ def repeated_spans(docs: DataFrame, length: int = 100, k: int = 32, batch_window
         rows = rows.groupBy(bucket.alias("bucket"), F.floor(F.col("part") / group).alias("group")).applyInArrow(_merged(length, batch_windows, True), RUNS_SQL)
         group *= fan_in
     rows = rows.groupBy(bucket.alias("bucket")).applyInArrow(_merged(length, batch_windows, False), RUNS_SQL)
-    found = rows.groupBy("doc_id").agg(F.collect_list(F.struct("start", "windows")).alias("found"))
-    return candidates.select("doc_id", "text").join(found, "doc_id").withColumn("n_bytes", F.octet_length("text")).mapInArrow(_spans(length), "doc_id long, text string, begins array<long>, ends array<long>")
+    found = stored(rows.groupBy("doc_id").agg(F.collect_list(F.struct("start", "windows")).alias("found")), "found")
+    left = filtered(candidates.drop("anchors"), found.select("doc_id"), ["doc_id"], "left_semi").join(found, "doc_id").withColumn("n_bytes", F.octet_length("text"))
+    return left.mapInArrow(_spans(length), "doc_id long, print binary, text string, begins array<long>, ends array<long>")
 
 
 def _remaining(text: bytes, begins: list, ends: list) -> bytes:
@@ -274,36 +293,43 @@ def _remaining(text: bytes, begins: list, ends: list) -> bytes:
 
 
 def _digested(batches):
-    schema = pa.schema([("doc_id", pa.int64()), ("fingerprint", pa.int64()), ("n_removed", pa.int64()), ("n_spans", pa.int64()), ("kept_sha256", pa.string())])
+    schema = pa.schema([("doc_id", pa.int64()), ("print", pa.binary()), ("n_removed", pa.int64()), ("n_spans", pa.int64()), ("kept_sha256", pa.string())])
     for batch in batches:
         removed, spans, digests = [], [], []
         for text, b, e in zip(raw_column(batch, "text"), batch.column("begins").to_pylist(), batch.column("ends").to_pylist()):
             removed.append(sum(e) - sum(b))
             spans.append(len(b))
             digests.append(sha256(_remaining(text, b, e)).hexdigest())
-        yield pa.record_batch([batch.column("doc_id"), batch.column("fingerprint"), pa.array(removed, pa.int64()), pa.array(spans, pa.int64()), pa.array(digests, pa.string())], schema=schema)
+        yield pa.record_batch([batch.column("doc_id"), batch.column("print"), pa.array(removed, pa.int64()), pa.array(spans, pa.int64()), pa.array(digests, pa.string())], schema=schema)
 
 
 def removal_digests(docs: DataFrame, **options) -> DataFrame:
     """One row per row of `docs`: doc_id, n_bytes, n_removed, n_spans, kept_sha256. Null text: empty. Null doc_id: nothing is removed. Other columns are ignored."""
-    docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    spans = repeated_spans(docs, **options).withColumn("fingerprint", F.xxhash64("text"))
-    cut = stored(spans.mapInArrow(_digested, "doc_id long, fingerprint long, n_removed long, n_spans long, kept_sha256 string").dropDuplicates(["doc_id", "fingerprint"]), "cut")
-    whole = docs.select("doc_id", F.xxhash64("text").alias("fingerprint"), F.coalesce(F.octet_length("text"), F.lit(0)).cast("long").alias("n_bytes"), F.sha2(F.coalesce("text", F.lit("")).cast("binary"), 256).alias("whole"))
-    out = whole.join(cut, ["doc_id", "fingerprint"], "left")
-    return out.select("doc_id", "n_bytes", F.coalesce("n_removed", F.lit(0)).alias("n_removed"), F.coalesce("n_spans", F.lit(0)).alias("n_spans"), F.coalesce("kept_sha256", "whole").alias("kept_sha256"))
+    docs = prepared(docs)
+    copies = whole_copies(docs, options.get("length", 100))
+    spans = repeated_spans(docs, copies, **options)
+    cut = spans.mapInArrow(_digested, "doc_id long, print binary, n_removed long, n_spans long, kept_sha256 string").dropDuplicates(["doc_id", "print"])
+    gone = copies.select("doc_id", "print", F.lit(-1).cast("long").alias("n_removed"), F.lit(1).cast("long").alias("n_spans"), F.lit(sha256(b"").hexdigest()).alias("kept_sha256"))
+    found = stored(cut.unionByName(gone), "cut")
+    whole = docs.select("doc_id", "print", F.coalesce(F.octet_length("text"), F.lit(0)).cast("long").alias("n_bytes"), F.sha2(F.coalesce("text", F.lit("")).cast("binary"), 256).alias("whole"))
+    out = whole.join(found, ["doc_id", "print"], "left")
+    removed = F.when(F.col("n_removed") < 0, F.col("n_bytes")).otherwise(F.coalesce("n_removed", F.lit(0)))
+    return out.select("doc_id", "n_bytes", removed.alias("n_removed"), F.coalesce("n_spans", F.lit(0)).alias("n_spans"), F.coalesce("kept_sha256", "whole").alias("kept_sha256"))
 
 
 def _texts(batches):
-    schema = pa.schema([("doc_id", pa.int64()), ("fingerprint", pa.int64()), ("kept_text", pa.string())])
+    schema = pa.schema([("doc_id", pa.int64()), ("print", pa.binary()), ("kept_text", pa.string())])
     for batch in batches:
         kept = [_remaining(t, b, e).decode("utf-8", "ignore") for t, b, e in zip(raw_column(batch, "text"), batch.column("begins").to_pylist(), batch.column("ends").to_pylist())]
-        yield pa.record_batch([batch.column("doc_id"), batch.column("fingerprint"), pa.array(kept, pa.string())], schema=schema)
+        yield pa.record_batch([batch.column("doc_id"), batch.column("print"), pa.array(kept, pa.string())], schema=schema)
 
 
 def remaining_texts(docs: DataFrame, **options) -> DataFrame:
     """`docs` with every text cut down to its remaining bytes; characters of which only some bytes remain go too. All columns and rows stay."""
-    spans = repeated_spans(docs, **options).withColumn("fingerprint", F.xxhash64("text"))
-    cut = stored(spans.mapInArrow(_texts, "doc_id long, fingerprint long, kept_text string").dropDuplicates(["doc_id", "fingerprint"]), "texts")
-    keyed = docs.withColumn("fingerprint", F.xxhash64(F.col("text").cast("string")))
-    return keyed.join(cut, ["doc_id", "fingerprint"], "left").withColumn("text", F.coalesce("kept_text", "text")).select(*docs.columns)
+    keyed = docs.withColumn("_print", F.unhex(F.md5(F.coalesce(F.col("text").cast("string"), F.lit("")))))
+    own = prepared(docs)
+    copies = whole_copies(own, options.get("length", 100))
+    cut = repeated_spans(own, copies, **options).mapInArrow(_texts, "doc_id long, print binary, kept_text string").dropDuplicates(["doc_id", "print"])
+    found = stored(cut.unionByName(copies.select("doc_id", "print", F.lit("").alias("kept_text"))), "texts").withColumnsRenamed({"doc_id": "_doc", "print": "_print_found", "kept_text": "_kept"})
+    joined = keyed.join(found, (keyed["doc_id"] == found["_doc"]) & (keyed["_print"] == found["_print_found"]), "left")
+    return joined.withColumn("text", F.coalesce("_kept", "text")).select(*docs.columns)
