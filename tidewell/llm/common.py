@@ -8,6 +8,8 @@ import tempfile
 import uuid
 
 import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -46,10 +48,6 @@ def discard(df: DataFrame) -> None:
         where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(where, True)
 
 
-def with_row_key(df: DataFrame) -> DataFrame:
-    return df.withColumn("_row", F.monotonically_increasing_id())
-
-
 def text_blocks(batch, columns, text="text", limit=BLOCK_BYTES):
     """Splits an Arrow batch into runs of rows of at most about `limit` text bytes; yields (columns as lists, texts as UTF-8)."""
     others = [batch.column(c) for c in columns]
@@ -136,3 +134,23 @@ def hashed_words(texts: list, lower: bool = False):
     hashes = span_hash(prefix_hash(byte_codes(raw)), s, e)
     first = np.concatenate([[0], np.searchsorted(s, ends)])
     return hashes, first, raw, s, e
+
+
+def few_ids_join(docs: DataFrame, ids: DataFrame, keys: list, how: str, most: int = 1_000_000) -> DataFrame:
+    """docs by semi or anti join with few ids; broadcast behind a check of their number, else the texts are shuffled."""
+    return docs.join(F.broadcast(ids) if ids.count() <= most else ids, keys, how)
+
+
+def keep_rows(docs: DataFrame, judge, text: str = "text", verdict: str = "kept", wanted: bool = True) -> DataFrame:
+    """The rows of docs, with all their columns, to which a judge of Arrow batches (_row, doc_id, held_out, text) gives the wanted verdict."""
+
+    def run(batches):
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            row = pa.array(np.arange(batch.num_rows))
+            asked = pa.record_batch([row, row, pa.array(np.zeros(batch.num_rows, dtype=bool)), batch.column(text)], names=["_row", "doc_id", "held_out", "text"])
+            flags = pa.concat_arrays([b.column(verdict) for b in judge([asked])])
+            yield batch.filter(flags if wanted else pc.invert(flags))
+
+    return docs.mapInArrow(run, docs.schema)

@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import mixed
+from .common import keep_rows, mixed
 
 _U = np.uint64
 WORD = re.compile(r"[^\W\d_]+")
@@ -321,3 +321,11 @@ def identified(docs: DataFrame, per_language: int = 250, learn_from: DataFrame |
         return rows.select("doc_id", "held_out", F.lit(UNKNOWN).alias("lang_pred"), F.lit(0.0).alias("score"), F.lit(None).cast("double").alias("entropy"), F.lit(True).alias("rejected"))
     shared = docs.sparkSession.sparkContext.broadcast(model)
     return rows.mapInArrow(_predict(_Shared(shared)), "doc_id long, held_out boolean, lang_pred string, score double, entropy double, rejected boolean")
+
+
+def recognised(docs: DataFrame, per_language: int = 250) -> DataFrame:
+    """The rows of `docs` (doc_id, text, lang) that identified() doesn't reject, with all their columns; without any labelled row, all."""
+    model = fit(docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"), F.col("lang").cast("string").alias("lang")), per_language)
+    if model is None:
+        return docs
+    return keep_rows(docs, _predict(_Shared(docs.sparkSession.sparkContext.broadcast(model))), verdict="rejected", wanted=False)

@@ -15,7 +15,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import hashed_words, mixed, powers, stored, text_blocks
+from .common import few_ids_join, hashed_words, mixed, powers, stored, text_blocks
 from .components import components
 
 _U = np.uint64
@@ -207,3 +207,9 @@ def near_duplicates(docs: DataFrame, shingle_words: int = 5, percent: int = 80,
     out = features.select("doc_id", "n_shingles", "h1", "h2").join(of_set, ["h1", "h2"], "left")
     component = F.when(F.col("n_shingles") > 0, F.col("root")).otherwise(F.col("doc_id"))
     return out.select("doc_id", "n_shingles", F.when(F.col("doc_id").isNotNull(), component).alias("component_id")).withColumn("kept", F.col("doc_id").eqNullSafe(F.col("component_id")))
+
+
+def without_near_duplicates(docs: DataFrame, **options) -> DataFrame:
+    """`docs` with one document of each group of near duplicates, that of the smallest doc_id; all columns stay."""
+    dropped = stored(near_duplicates(docs, **options).where("NOT kept").select("doc_id").distinct(), "dropped")
+    return few_ids_join(docs, dropped, ["doc_id"], "left_anti")

@@ -14,7 +14,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import hashed_words, mixed, prefix_hash, span_hash, text_blocks
+from .common import hashed_words, keep_rows, mixed, prefix_hash, span_hash, text_blocks
 
 _U = np.uint64
 
@@ -130,3 +130,8 @@ def judged(docs: DataFrame, least: int = 8, max_percent: int = 35, max_longest:
     """
     docs = docs.select(F.col("doc_id").cast("long").alias("_row"), F.col("text").cast("string").alias("text"))
     return docs.mapInArrow(_rules(least, max_percent, max_longest, min_words, base_percent), OUT).withColumnRenamed("_row", "doc_id")
+
+
+def passing(docs: DataFrame, least: int = 8, max_percent: int = 35, max_longest: int = 100, min_words: int = 20, base_percent: int = 30) -> DataFrame:
+    """The rows of `docs` that judged() keeps, with all their columns."""
+    return keep_rows(docs, _rules(least, max_percent, max_longest, min_words, base_percent))

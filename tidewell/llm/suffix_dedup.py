@@ -23,7 +23,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import byte_codes, mixed, prefix_hash, powers, stored
+from .common import byte_codes, few_ids_join, mixed, prefix_hash, powers, stored
 
 _U = np.uint64
 _PLACE_BITS = 28
@@ -247,11 +247,6 @@ def prepared(docs: DataFrame) -> DataFrame:
     return docs.withColumn("print", F.unhex(F.md5(F.coalesce("text", F.lit("")))))
 
 
-def filtered(docs: DataFrame, ids: DataFrame, keys: list, how: str, most: int = 1_000_000) -> DataFrame:
-    """docs by semi or anti join with few ids; broadcast behind a check of their number, else the texts are shuffled."""
-    return docs.join(F.broadcast(ids) if ids.count() <= most else ids, keys, how)
-
-
 def whole_copies(docs: DataFrame, length: int = 100) -> DataFrame:
     """(doc_id, print) of the documents from prepared() whose whole text, of `length` bytes at least, is that of a smaller doc_id: all of it stands earlier."""
     long = docs.where(f"doc_id IS NOT NULL AND octet_length(text) >= {length}").select("doc_id", "print")
@@ -268,12 +263,12 @@ def repeated_spans(docs: DataFrame, copies: DataFrame, length: int = 100, k: int
     same doc_id are one document: its strings don't stand earlier than themselves.
     """
     spark = docs.sparkSession
-    docs = filtered(docs.where(f"doc_id IS NOT NULL AND octet_length(text) >= {length}"), copies, ["doc_id", "print"], "left_anti")
+    docs = few_ids_join(docs.where(f"doc_id IS NOT NULL AND octet_length(text) >= {length}"), copies, ["doc_id", "print"], "left_anti")
     anchors = docs.select("doc_id", "text").mapInArrow(_anchors(length, k), "anchor long, doc_id long, many boolean")
     counted = anchors.groupBy("anchor").agg(F.count("*").alias("docs"), F.max("many").alias("many")).where("docs > 1 OR many").select("anchor")
     wanted = stored(anchors.join(counted, "anchor").groupBy("doc_id").agg(F.collect_set("anchor").alias("anchors")), "anchors")
     total = wanted.agg(F.sum(F.size("anchors"))).first()[0] or 0
-    candidates = stored(filtered(docs, wanted.select("doc_id"), ["doc_id"], "left_semi").join(wanted, "doc_id"), "candidates")
+    candidates = stored(few_ids_join(docs, wanted.select("doc_id"), ["doc_id"], "left_semi").join(wanted, "doc_id"), "candidates")
     rows = candidates.select("doc_id", "text", "anchors").mapInArrow(_cut(length, k, batch_windows), RUNS_SQL)
     buckets = max(1, math.ceil(total * (length - k) / 2 / (4 * batch_windows)))
     bucket = F.when(F.col("bytes").isNotNull(), F.pmod("anchor", F.lit(buckets))).otherwise(F.pmod(F.xxhash64("doc_id", "start"), F.lit(buckets)))
@@ -284,7 +279,7 @@ def repeated_spans(docs: DataFrame, copies: DataFrame, length: int = 100, k: int
         group *= fan_in
     rows = rows.groupBy(bucket.alias("bucket")).applyInArrow(_merged(length, batch_windows, False), RUNS_SQL)
     found = stored(rows.groupBy("doc_id").agg(F.collect_list(F.struct("start", "windows")).alias("found")), "found")
-    left = filtered(candidates.drop("anchors"), found.select("doc_id"), ["doc_id"], "left_semi").join(found, "doc_id").withColumn("n_bytes", F.octet_length("text"))
+    left = few_ids_join(candidates.drop("anchors"), found.select("doc_id"), ["doc_id"], "left_semi").join(found, "doc_id").withColumn("n_bytes", F.octet_length("text"))
     return left.mapInArrow(_spans(length), "doc_id long, print binary, text string, begins array<long>, ends array<long>")
 
 
