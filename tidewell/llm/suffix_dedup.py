@@ -23,7 +23,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import byte_codes, few_ids_join, mixed, prefix_hash, powers, stored
+from .common import byte_codes, few_ids_join, mixed, powers, prefix_hash, small_batches, stored
 
 _U = np.uint64
 _PLACE_BITS = 28
@@ -219,8 +219,8 @@ def _merged(length: int, batch_windows: int, ship: bool):
     return run
 
 
-def _spans(length: int):
-    """Documents with what matched in them -> the same with maximal spans of removed bytes."""
+def _spans(length: int, then):
+    """Documents with what matched in them -> the same with maximal spans of removed bytes, given on to `then`."""
     schema = pa.schema([("doc_id", pa.int64()), ("print", pa.binary()), ("text", pa.string()), ("begins", pa.list_(pa.int64())), ("ends", pa.list_(pa.int64()))])
 
     def run(batches):
@@ -239,7 +239,7 @@ def _spans(length: int):
                 ends.append(e)
             yield pa.record_batch([batch.column("doc_id"), batch.column("print"), batch.column("text"), pa.array(begins, schema.field("begins").type), pa.array(ends, schema.field("ends").type)], schema=schema)
 
-    return run
+    return lambda batches: then(run(batches))
 
 
 def prepared(docs: DataFrame) -> DataFrame:
@@ -254,15 +254,16 @@ def whole_copies(docs: DataFrame, length: int = 100) -> DataFrame:
     return stored(long.join(firsts, "print").where("doc_id > first").select("doc_id", "print").distinct(), "copies")
 
 
-def repeated_spans(docs: DataFrame, copies: DataFrame, length: int = 100, k: int = 32, batch_windows: int = 1 << 15, fan_in: int = 256) -> DataFrame:
-    """doc_id, print, text, begins, ends: the byte spans of each document of `docs` (from prepared()) that are covered by a string of
-    `length` bytes that also starts earlier (smaller doc_id, or same document and smaller start). Left out: documents without any, and
-    whole copies, whose strings all stand in their first one.
+def repeated_spans(docs: DataFrame, copies: DataFrame, then, schema: str, length: int = 100, k: int = 32, batch_windows: int = 1 << 15, fan_in: int = 256) -> DataFrame:
+    """What `then` makes of Arrow batches (doc_id, print, text, begins, ends): the byte spans of each document of `docs` (from prepared())
+    that are covered by a string of `length` bytes that also starts earlier (smaller doc_id, or same document and smaller start). Left
+    out: documents without any, and whole copies, whose strings all stand in their first one.
 
     Nulls, texts shorter than `length` and rows with a null doc_id: no spans. Rows repeated with the
     same doc_id are one document: its strings don't stand earlier than themselves.
     """
     spark = docs.sparkSession
+    small_batches(spark)
     docs = few_ids_join(docs.where(f"doc_id IS NOT NULL AND octet_length(text) >= {length}"), copies, ["doc_id", "print"], "left_anti")
     anchors = docs.select("doc_id", "text").mapInArrow(_anchors(length, k), "anchor long, doc_id long, many boolean")
     counted = anchors.groupBy("anchor").agg(F.count("*").alias("docs"), F.max("many").alias("many")).where("docs > 1 OR many").select("anchor")
@@ -280,7 +281,7 @@ def repeated_spans(docs: DataFrame, copies: DataFrame, length: int = 100, k: int
     rows = rows.groupBy(bucket.alias("bucket")).applyInArrow(_merged(length, batch_windows, False), RUNS_SQL)
     found = stored(rows.groupBy("doc_id").agg(F.collect_list(F.struct("start", "windows")).alias("found")), "found")
     left = few_ids_join(candidates.drop("anchors"), found.select("doc_id"), ["doc_id"], "left_semi").join(found, "doc_id").withColumn("n_bytes", F.octet_length("text"))
-    return left.mapInArrow(_spans(length), "doc_id long, print binary, text string, begins array<long>, ends array<long>")
+    return left.mapInArrow(_spans(length, then), schema)
 
 
 def _remaining(text: bytes, begins: list, ends: list) -> bytes:
@@ -302,8 +303,8 @@ def removal_digests(docs: DataFrame, **options) -> DataFrame:
     """One row per row of `docs`: doc_id, n_bytes, n_removed, n_spans, kept_sha256. Null text: empty. Null doc_id: nothing is removed. Other columns are ignored."""
     docs = prepared(docs)
     copies = whole_copies(docs, options.get("length", 100))
-    spans = repeated_spans(docs, copies, **options)
-    cut = spans.mapInArrow(_digested, "doc_id long, print binary, n_removed long, n_spans long, kept_sha256 string").dropDuplicates(["doc_id", "print"])
+    schema = "doc_id long, print binary, n_removed long, n_spans long, kept_sha256 string"
+    cut = repeated_spans(docs, copies, _digested, schema, **options).dropDuplicates(["doc_id", "print"])
     gone = copies.select("doc_id", "print", F.lit(-1).cast("long").alias("n_removed"), F.lit(1).cast("long").alias("n_spans"), F.lit(sha256(b"").hexdigest()).alias("kept_sha256"))
     found = stored(cut.unionByName(gone), "cut")
     whole = docs.select("doc_id", "print", F.coalesce(F.octet_length("text"), F.lit(0)).cast("long").alias("n_bytes"), F.sha2(F.coalesce("text", F.lit("")).cast("binary"), 256).alias("whole"))
@@ -324,7 +325,7 @@ def remaining_texts(docs: DataFrame, **options) -> DataFrame:
     keyed = docs.withColumn("_print", F.unhex(F.md5(F.coalesce(F.col("text").cast("string"), F.lit("")))))
     own = prepared(docs)
     copies = whole_copies(own, options.get("length", 100))
-    cut = repeated_spans(own, copies, **options).mapInArrow(_texts, "doc_id long, print binary, kept_text string").dropDuplicates(["doc_id", "print"])
+    cut = repeated_spans(own, copies, _texts, "doc_id long, print binary, kept_text string", **options).dropDuplicates(["doc_id", "print"])
     found = stored(cut.unionByName(copies.select("doc_id", "print", F.lit("").alias("kept_text"))), "texts").withColumnsRenamed({"doc_id": "_doc", "print": "_print_found", "kept_text": "_kept"})
     joined = keyed.join(found, (keyed["doc_id"] == found["_doc"]) & (keyed["_print"] == found["_print_found"]), "left")
     return joined.withColumn("text", F.coalesce("_kept", "text")).select(*docs.columns)
