@@ -84,13 +84,13 @@ def equal(a: DataFrame, b: DataFrame) -> DataFrame:
 
 
 class FrameList(Handle):
-    @staticmethod
-    def of(spark: SparkSession, *values, schema: str = "int") -> FrameList:
-        return FrameList(spark.createDataFrame(list(enumerate(values)), f"pos long, value {schema}"))
+    @classmethod
+    def of(cls, spark: SparkSession, *values, schema: str = "int") -> FrameList:
+        return cls(spark.createDataFrame(list(enumerate(values)), f"pos long, value {schema}"))
 
-    @staticmethod
-    def from_seq(seq: Seq, value: str = "value") -> FrameList:
-        return FrameList(seq.with_position("pos").select("pos", F.col(value).alias("value")))
+    @classmethod
+    def from_seq(cls, seq: Seq, value: str = "value") -> FrameList:
+        return cls(seq.with_position("pos").select("pos", F.col(value).alias("value")))
 
     def stream(self) -> Seq:
         return Seq(self.df, ["pos"])
