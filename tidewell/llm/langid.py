@@ -46,7 +46,7 @@ def _grams(codes: np.ndarray, at: np.ndarray, order: int) -> list[tuple[np.ndarr
     place = np.arange(len(codes))
     out, key = [], np.zeros(len(codes), dtype=np.uint64)
     for n in range(1, order + 1):
-        ahead = np.concatenate([codes[n - 1 :], np.zeros(n - 1, dtype=np.uint64)])
+        ahead = np.concatenate([codes[n - 1 :], np.zeros(n - 1, dtype=np.uint64)])[: len(codes)]
         key = mixed(key ^ (ahead + _U(1)), n)
         out.append((key, place + n <= end))
     return out
