@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import keep_rows, mixed
+from .common import keep_rows, mixed, stored
 
 _U = np.uint64
 WORD = re.compile(r"[^\W\d_]+")
@@ -240,17 +240,17 @@ def _count_words(batches):
 
 
 def training_rows(docs: DataFrame, per_language: int) -> DataFrame:
-    """At most `per_language` labelled rows of each language, those of least hash; held-out rows never."""
+    """At most `per_language` labelled rows of each language, those of least hash; held-out rows never. Their ids (that bounded number) are broadcast, so no other text moves."""
     labelled = docs.where("lang IS NOT NULL AND text IS NOT NULL AND doc_id IS NOT NULL AND crc32(cast(doc_id AS string)) % 3 <> 1").select("doc_id", "lang", F.xxhash64("doc_id").alias("h"))
     rate = labelled.groupBy("lang").agg(F.count("*").alias("n")).select("lang", (F.lit(2.0 * per_language + 50) / F.col("n")).alias("rate"))
     thin = labelled.join(rate, "lang").where((F.col("h") / F.lit(2.0**64) + 0.5) < F.col("rate"))  # bounds what each language sorts
     best = thin.withColumn("k", F.row_number().over(Window.partitionBy("lang").orderBy("h", "doc_id"))).where(F.col("k") <= per_language)
-    return docs.join(best.select("doc_id", "lang", "k"), ["doc_id", "lang"]).select("doc_id", "lang", "text", (F.col("k") % 5 == 0).alias("own"))
+    return docs.join(F.broadcast(best.select("doc_id", "lang", "k")), ["doc_id", "lang"]).select("doc_id", "lang", "text", (F.col("k") % 5 == 0).alias("own"))
 
 
 def fit(docs: DataFrame, per_language: int = 250) -> Model | None:
     """A model of a bounded sample: at most `per_language` documents of a language, a fifth of them for calibration."""
-    rows = training_rows(docs, per_language).mapInArrow(_count_words, "part string, lang string, doc_id long, word string, n long")
+    rows = stored(training_rows(docs, per_language).mapInArrow(_count_words, "part string, lang string, doc_id long, word string, n long"), "words")
     train = rows.where("part = 'train'").groupBy("lang", "word").agg(F.sum("n").alias("n"))
     test = rows.where("part = 'test'").select("lang", "doc_id", "word", "n")
     counts: dict[str, Counter] = {}
