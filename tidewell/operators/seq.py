@@ -93,7 +93,7 @@ class Seq:
     # Rows one by one
 
     def filter(self, condition) -> Seq:
-        return self._next(self._take().where(true(condition)), bound=self._bound)
+        return self._next(self._take().where(col(condition)), bound=self._bound)  # a null drops the row anyway; a bare condition reaches the scan
 
     def map(self, **values) -> Seq:
         hidden = [k.name for k in self._order]
@@ -302,7 +302,7 @@ class Seq:
 
     def has_match(self, condition) -> bool:
         """Eager: stops at the first match."""
-        return not self._take().where(true(condition)).isEmpty()
+        return not self._take().where(col(condition)).isEmpty()
 
     def reduce(self, value, step: Callable[[Column, Column], Column], identity=None) -> DataFrame:
         """A left fold in encounter order. Values meet in one row: for known reductions use collect() with an aggregate. Without identity, null for no rows."""
