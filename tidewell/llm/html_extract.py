@@ -24,7 +24,7 @@ VOID = {"area", "base", "br", "col", "embed", "hr", "img", "input", "link", "met
 INLINE = {"a", "abbr", "acronym", "b", "bdi", "bdo", "big", "cite", "code", "data", "del", "dfn", "em", "font", "i", "ins", "kbd", "label", "mark", "q", "s", "samp", "small", "span", "strike", "strong", "sub", "sup", "time", "tt", "u", "var", "img", "wbr", "br"}
 CLOSED_BY_LIKE = {"li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"}, "th": {"td", "th"}, "option": {"option"}}
 SCOPES = {"ul", "ol", "dl", "table", "article", "section", "main", "body", "html", "div", "nav", "aside", "footer", "header", "blockquote", "td", "th"}
-NOISE_TAGS = {"nav", "footer", "aside", "form", "button", "select", "option", "dialog", "svg", "head", "menu", "figure", "object", "audio", "video", "canvas", "fieldset"}
+NOISE_TAGS = {"nav", "footer", "aside", "form", "button", "select", "option", "dialog", "svg", "head", "menu", "object", "audio", "video", "canvas", "fieldset"}
 NOISE_ROLES = {"navigation", "banner", "contentinfo", "complementary", "search", "dialog", "alert"}
 NOISE_NAMES = re.compile(r"(ad|ads|adbox|advert\w*|sponsor\w*|promo\w*|banner|cookie\w*|consent|notice|notification|alert|popup|modal|sidebar|menu|nav\w*|breadcrumbs?|footer|header|masthead|share|sharing|social|related|recommend\w*|newsletter|subscribe|subscription|comments?|comment-?list|disqus\w*|replies|widget|pagination|pager|skip-?link|hidden)([-_](box|area|bar|list|section|container|wrapper|block|thread|form|unit|slot|\d+))*", re.I)
 CONTENT = {"article", "main"}
