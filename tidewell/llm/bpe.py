@@ -21,6 +21,8 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .common import worker_cache
+
 # Fixed values of the tokenizer's file format: white space of the Unicode property, and its pre-token pattern.
 WHITE = r"\t-\r \x85\xa0  -     　"
 PRE_TOKEN = rf"'s|'t|'re|'ve|'m|'ll|'d|[\p{{L}}]+|[\p{{N}}]|[^{WHITE}\p{{L}}\p{{N}}]+"
@@ -175,14 +177,9 @@ class Bpe:
         return self.decode_many(np.frombuffer(ids, dtype="<u4").astype(np.int64))[0][1:].tobytes().decode("utf-8")
 
 
-_loaded: dict[str, Bpe] = {}
-
-
 def loaded(path: str) -> Bpe:
     """One encoder for each worker and file."""
-    if path not in _loaded:
-        _loaded[path] = Bpe(path)
-    return _loaded[path]
+    return worker_cache("bpe", path, lambda: Bpe(path))
 
 
 def raw_texts(batch, column: str = "text") -> list:

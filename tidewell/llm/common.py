@@ -5,6 +5,7 @@ from __future__ import annotations
 import atexit
 import contextlib
 import ctypes
+import gc
 import shutil
 import tempfile
 import uuid
@@ -32,6 +33,25 @@ def steady_memory() -> None:
 steady_memory()
 
 
+_held: dict[str, dict] = {}
+
+
+def worker_cache(kind: str | None, key=None, make=None):
+    """What a Python worker keeps between tasks, for one operator at a time: the caches of others go first. Without make, only that."""
+    for other in [k for k in _held if k != kind]:
+        del _held[other]
+        gc.collect()
+        with contextlib.suppress(OSError, AttributeError):
+            ctypes.CDLL("libc.so.6").malloc_trim(0)
+    if make is None:
+        return None
+    box = _held.setdefault(kind, {})
+    if key not in box:
+        box.clear()
+        box[key] = make()
+    return box[key]
+
+
 def small_batches(spark: SparkSession, rows: int = 2000) -> None:
     """Fewer rows in an Arrow batch than Spark's default, for long texts; a smaller setting stays."""
     key = "spark.sql.execution.arrow.maxRecordsPerBatch"
@@ -159,10 +179,13 @@ def few_ids_join(docs: DataFrame, ids: DataFrame, keys: list, how: str, most: in
     return docs.join(F.broadcast(ids) if ids.count() <= most else ids, keys, how)
 
 
-def keep_rows(docs: DataFrame, judge, text: str = "text", verdict: str = "kept", wanted: bool = True) -> DataFrame:
+def keep_rows(docs: DataFrame, judge, text: str = "text", verdict: str = "kept", wanted: bool = True, cache: str | None = None) -> DataFrame:
     """The rows of docs, with all their columns, to which a judge of Arrow batches (_row, doc_id, held_out, text) gives the wanted verdict."""
 
+    small_batches(docs.sparkSession)
+
     def run(batches):
+        worker_cache(cache)
         for batch in batches:
             if not batch.num_rows:
                 continue

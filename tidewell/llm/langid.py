@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import keep_rows, mixed, stored
+from .common import worker_cache, keep_rows, mixed, stored
 
 _U = np.uint64
 WORD = re.compile(r"[^\W\d_]+")
@@ -277,17 +277,11 @@ class _Shared:
         return self.broadcast.value
 
 
-_judges: dict[str, Judge] = {}
-
-
 def _predict(shared: _Shared, limit: int = 1 << 20):
     schema = pa.schema([("doc_id", pa.int64()), ("held_out", pa.bool_()), ("lang_pred", pa.string()), ("score", pa.float64()), ("entropy", pa.float64()), ("rejected", pa.bool_())])
 
     def run(batches):
-        if shared.id not in _judges:
-            _judges.clear()
-            _judges[shared.id] = Judge(shared.value)
-        judge = _judges[shared.id]
+        judge = worker_cache("langid", shared.id, lambda: Judge(shared.value))
         for batch in batches:
             found, held, size = [], [], 0
             for text in batch.column("text"):
@@ -328,4 +322,4 @@ def recognised(docs: DataFrame, per_language: int = 250) -> DataFrame:
     model = fit(docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"), F.col("lang").cast("string").alias("lang")), per_language)
     if model is None:
         return docs
-    return keep_rows(docs, _predict(_Shared(docs.sparkSession.sparkContext.broadcast(model))), verdict="rejected", wanted=False)
+    return keep_rows(docs, _predict(_Shared(docs.sparkSession.sparkContext.broadcast(model))), verdict="rejected", wanted=False, cache="langid")

@@ -15,7 +15,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import few_ids_join, hashed_words, mixed, powers, stored, text_blocks
+from .common import few_ids_join, hashed_words, worker_cache, mixed, powers, stored, text_blocks
 from .components import components
 
 _U = np.uint64
@@ -74,6 +74,7 @@ def _features(k: int, bands: int, rows: int):
     schema = pa.schema([("doc_id", pa.int64()), ("n_shingles", pa.int64()), ("h1", pa.int64()), ("h2", pa.int64()), ("bands", pa.list_(pa.int64()))])
 
     def run(batches):
+        worker_cache(None)
         for batch in batches:
             for (ids,), texts in text_blocks(batch, ["doc_id"]):
                 elements, at = shingle_sets(texts, k)

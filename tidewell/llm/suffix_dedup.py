@@ -23,7 +23,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import byte_codes, few_ids_join, mixed, powers, prefix_hash, small_batches, stored
+from .common import byte_codes, few_ids_join, worker_cache, mixed, powers, prefix_hash, small_batches, stored
 
 _U = np.uint64
 _PLACE_BITS = 28
@@ -86,6 +86,7 @@ def _anchors(length: int, k: int):
     schema = pa.schema([("anchor", pa.int64()), ("doc_id", pa.int64()), ("many", pa.bool_())])
 
     def run(batches):
+        worker_cache(None)
         for batch in batches:
             ids = batch.column("doc_id").to_numpy(zero_copy_only=False)
             for pieces, owner, _ in segments(raw_column(batch, "text"), length):
