@@ -1,5 +1,7 @@
 """Container handles: mutators, views, fences, fail-fast iteration, freezing."""
 
+from bisect import bisect_left, bisect_right
+
 import pytest
 from pyspark.sql import functions as F
 
@@ -10,6 +12,7 @@ from tidewell.operators.containers.lists import FrameList
 from tidewell.operators.containers.maps import FrameMap
 from tidewell.operators.containers.navigable import NavigableMap, NavigableSet
 from tidewell.operators.containers.sets import FrameSet
+from tidewell.plans.catalog import QUERIES
 
 
 def test_list(spark):
@@ -111,3 +114,16 @@ def test_nearest_by_ranges(spark, kind):
     keys = range(20, 300, 7)
     pick = {"floor": lambda p: max((k for k in keys if k <= p), default=None), "lower": lambda p: max((k for k in keys if k < p), default=None), "ceiling": lambda p: min((k for k in keys if k >= p), default=None), "higher": lambda p: min((k for k in keys if k > p), default=None)}[kind]
     assert one == two == [(p, pick(p)) for p in range(400)]
+
+
+@pytest.mark.parametrize("name", ["nav_floor_all", "nav_lower_all", "nav_ceiling_all", "nav_higher_all", "nav_descending_floor_all", "nav_floor_clamped_all"])
+def test_nearest_of_whole_tables(spark, name):
+    """Every order has a row and all events are probed, beyond the 5,000 keys that nav_floor and its like take."""
+    d = "/root/testdata/sf0.01"
+    orders, events = ([r[0] for r in spark.read.parquet(f"{d}/{t}.parquet").select(c).collect()] for t, c in (("orders", "o_orderkey"), ("events", "event_id")))
+    keys = sorted({4 * e for e in events if "clamped" not in name or 100 <= 4 * e < 300})
+    at = {"floor": bisect_right, "lower": bisect_left, "ceiling": bisect_left, "higher": bisect_right}["ceiling" if "descending" in name else name.split("_")[1]]
+    back = name.split("_")[1] in ("floor", "lower")  # the key before, else the key behind
+    place = lambda p: at(keys, p) - back
+    got = sorted(map(tuple, QUERIES[name](spark, d).select("o_orderkey", "found").collect()))
+    assert len(orders) > 5000 and got == [(o, keys[place(3 * o)] if 0 <= place(3 * o) < len(keys) else None) for o in sorted(orders)]

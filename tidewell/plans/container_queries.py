@@ -348,6 +348,34 @@ def _(t):
     return near(t, "ceiling")
 
 
+# The same over whole tables: every order probes all events. Keys are spread (times 3, times 4) so that
+# some are met, some lie between two and the last lie behind all.
+
+
+def whole(t, kind, fence=navigable.Fence()):
+    probes = t.df("orders").select("o_orderkey", (F.col("o_orderkey") * 3).alias("probe"))
+    base = t.df("events").select((F.col("event_id") * 4).alias("key")).where(fence.condition())
+    return navigable.nearest(probes, "probe", base, "key", kind)
+
+
+def asof(sign, within="TRUE"):
+    return f"SELECT o.o_orderkey, o.probe, e.key AS found FROM (SELECT o_orderkey, o_orderkey * 3 AS probe FROM orders) o ASOF LEFT JOIN (SELECT key FROM (SELECT event_id * 4 AS key FROM events) WHERE {within}) e ON o.probe {sign} e.key"
+
+
+for _kind, _sign in (("floor", ">="), ("lower", ">"), ("ceiling", "<="), ("higher", "<")):
+    query(f"nav_{_kind}_all", asof(_sign))(lambda t, k=_kind: whole(t, k))
+
+
+@query("nav_descending_floor_all", asof("<="))
+def _(t):
+    return whole(t, "ceiling")
+
+
+@query("nav_floor_clamped_all", asof(">=", "key >= 100 AND key < 300"))
+def _(t):
+    return whole(t, "floor", navigable.Fence(100, True, 300, False))
+
+
 @query("nav_key_set", f"SELECT key FROM {P} WHERE key < 100")
 def _(t):
     return parts(t).head_map(100).navigable_key_set()
