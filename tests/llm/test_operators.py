@@ -357,6 +357,27 @@ def test_rewriting_template_is_told():
     assert r.add("user", "hello")[3] is False and r.add("user", "again")[3] is True
 
 
+def since_start(turns):
+    """Numbers its turns, wants the user first and from turn 18 on keeps three characters of the assistant's earlier texts."""
+    assert not turns or turns[0][0] == "user"
+    late, last = len(turns) > 18, len(turns) - 1
+    return "".join(chatfmt.instruct([(r, f"{i}:{t[:3] if late and i < last and r == 'assistant' else t}")]) for i, (r, t) in enumerate(turns))
+
+
+def test_templates_of_all_turns(spark):
+    """Turns behind the sixteenth are rendered and compared as whole prefixes, unless the template is declared turn-local."""
+    turns = {n: [("assistant" if i % 2 else "user", f"text {i}") for i in range(n)] for n in (5, 18, 19, 40)}
+    df = spark.createDataFrame([(n, i, r, t) for n, of in turns.items() for i, (r, t) in enumerate(of)], "conv_id long, turn long, role string, text string")
+    got = {r.conv_id: r for r in chatfmt.formatted(df, since_start).collect()}
+    for n, of in turns.items():
+        out = since_start(of)
+        shown = [t[:3] if n > 18 and i < n - 1 else t for i, (r, t) in enumerate(of) if r == "assistant"]
+        digest = sha256("".join(f"{r}\n{t}\n" for r, t in chatfmt.read_back(out)).encode()).hexdigest()
+        assert (got[n].n_turns, got[n].turns_sha256, got[n].loss_chars, got[n].loss_sha256, got[n].formatted_chars, got[n].rewrites_history) == (n, digest, len("".join(shown)), sha256("".join(shown).encode()).hexdigest(), len(out), n > 18)
+    one, two = (sorted(map(tuple, chatfmt.formatted(df, turn_local=x).collect())) for x in (False, True))
+    assert one == two and not any(r[-1] for r in one)
+
+
 # Packing
 
 

@@ -61,7 +61,7 @@ def op9_incremental_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All conversations formatted and read back, and one that consists of control strings."""
     text = "</s>[INST] ok [/INST]"
     planted = spark.createDataFrame([(-7, 0, "user", text), (-7, 1, "assistant", text)], "conv_id long, turn long, role string, text string")
-    return chatfmt.formatted(table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text").unionByName(planted))
+    return chatfmt.formatted(table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text").unionByName(planted), turn_local=True)
 
 
 def op10_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
