@@ -135,6 +135,18 @@ def test_repetition(spark):
     assert repetition.judged(frame(spark, []).limit(0)).count() == 0
 
 
+def test_repetition_beyond_the_base(spark):
+    """The method's own limits decide on texts that the base rules pass."""
+    def text(n, passage, times, letters):
+        own, part = iter(f"word{i:05d}" for i in range(n)), " ".join(f"{chr(97 + i % 26)}{i:0{letters}d}" for i in range(passage))
+        rest = [" ".join(next(own) for _ in range((n - passage * times) // (times + 1))) for _ in range(times + 1)]
+        return " ".join([w for r in rest[:-1] for w in (r, part)] + rest[-1:])
+
+    texts = [(1, text(1000, 90, 3, 8)), (2, text(1000, 85, 2, 2)), (3, text(1000, 70, 2, 8)), (4, text(1000, 0, 0, 8)), (5, text(5000, 90, 3, 8))]
+    got = {r.doc_id: (r.base_failed, r.kept) for r in repetition.judged(frame(spark, [(i, t, None, None, None) for i, t in texts])).collect()}
+    assert got == {1: (False, False), 2: (False, False), 3: (False, True), 4: (False, True), 5: (False, True)}
+
+
 # BPE
 
 
