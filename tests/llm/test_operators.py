@@ -303,6 +303,15 @@ def test_ranks_are_pageranks(spark):
     assert all(abs(got[h][0] - t[h]) < 1e-4 and abs(got[h][1] - d[h]) < 1e-4 for h in t)
 
 
+def test_distrust_flows_along_long_chains(spark):
+    """Hosts 21 to 30 links from the only blocked seed, among 1,000 hosts, are blocked like the nearer ones."""
+    link = lambda k: f'<a href="http://{f"h{k - 1}.example" if k > 1 else "spam.net"}/">x</a>' if k <= 30 else ""
+    rows = [(0, "http://spam.net/", "")] + [(k, f"http://h{k}.example/", link(k)) for k in range(1, 1000)]
+    got = {r.page_id: (r.verdict, r.distrust) for r in hostgraph.judged(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
+    assert all(abs(got[k][1] - 0.15 * 0.85**k) < 1e-6 for k in range(31))
+    assert {k for k, (verdict, _) in got.items() if verdict == "block"} == set(range(31))
+
+
 # Languages
 
 

@@ -8,6 +8,8 @@ multiple of its trust.
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -43,8 +45,14 @@ def ruled(pages: DataFrame, rules: list) -> DataFrame:
     return pages.withColumn("rule", first(1)).withColumn("by_rule", first(2))
 
 
-def host_scores(hosts: DataFrame, edges: DataFrame, damping: float = 0.85, rounds: int = 20, tolerance: float = 1e-6) -> DataFrame:
-    """(host, trust, distrust) from hosts (host, trusted, blocked: 0 or 1) and edges (src, dst, n)."""
+def host_scores(hosts: DataFrame, edges: DataFrame, damping: float = 0.85, rounds: int | None = None, tolerance: float = 1e-6) -> DataFrame:
+    """(host, trust, distrust) from hosts (host, trusted, blocked: 0 or 1) and edges (src, dst, n).
+
+    Rounds go on until no host's ranks change by `tolerance`. The sum of both changes is 4 at first at
+    most and shrinks by `damping` each round, which gives the limit of rounds where none is given.
+    """
+    if rounds is None:
+        rounds = max(1, math.ceil(math.log(tolerance / 4) / math.log(damping)) + 1)
     totals = hosts.agg(F.sum("trusted"), F.sum("blocked")).first()
     share = lambda c, total: F.col(c) / F.lit(float(total or 1))
     seeds = stored(hosts.select("host", share("trusted", totals[0]).alias("seed_t"), share("blocked", totals[1]).alias("seed_d")), "seeds")
@@ -72,7 +80,8 @@ def judged(pages: DataFrame, rules: list = RULES, floor: float = 0.1, ratio: flo
     """One row per row of `pages` (page_id, url, html): page_id, host, path, rule, verdict, trust, distrust.
 
     Trusted seeds are hosts that an allowing rule fits, blocked seeds those that a blocking rule for all
-    paths fits. `floor` is a share of the mean over hosts. Only counts for each pair of hosts are
+    paths fits. `floor` is a share of the mean over hosts; ranks are
+    iterated until they change by less than a hundredth of it. Only counts for each pair of hosts are
     shuffled; a host with many pages is joined, never gathered. Null urls and urls without `://`: host and
     path empty, no rule, allowed. Null html: no links. Repeated rows: each is judged, and its links count.
     An empty table: no rows. Other columns are ignored.
@@ -87,7 +96,7 @@ def judged(pages: DataFrame, rules: list = RULES, floor: float = 0.1, ratio: flo
     blocked = any_of(lambda v, p: v == "block" and p == "/")
     hosts = stored(known.withColumn("blocked", blocked).withColumn("trusted", F.when(F.col("blocked") == 0, any_of(lambda v, p: v == "allow")).otherwise(0)), "hosts")
     many = max(1, hosts.count())
-    scores = host_scores(hosts, edges)
+    scores = host_scores(hosts, edges, tolerance=max(0.01 * floor / many, 1e-15))
     bad = scores.withColumn("bad", (F.col("distrust") > floor / many) & (F.col("distrust") > ratio * F.col("trust")))
     out = ruled(pages.select("page_id", "url"), rules).join(bad, "host", "left")
     verdict = F.coalesce("by_rule", F.when(F.col("bad"), "block").otherwise("allow"))
