@@ -77,6 +77,15 @@ def test_near_duplicates_outside_the_leaders_component(spark):
     assert got == {i: c for i, (_, c) in groups(rows, 1).items()} and got[3] == 2
 
 
+def test_near_duplicates_of_repeated_rows(spark):
+    """Rows repeated with one doc_id, and copies without a doc_id, leave one row of each set; other rows of the id stay."""
+    a, b = " ".join(f"a{i}" for i in range(30)), " ".join(f"b{i}" for i in range(30))
+    texts = [(1, a), (1, a), (1, a), (1, b), (2, a), (None, a), (None, a), (None, b), (None, None), (3, ""), (3, ""), (4, "own text of six words here")]
+    got = minhash.without_near_duplicates(frame(spark, [(i, t, "en", None, None) for i, t in texts]))
+    assert got.columns == frame(spark, []).columns
+    assert sorted(((r.doc_id, r.text) for r in got.collect()), key=str) == sorted([(1, a), (1, b), (None, a), (None, b), (None, None), (3, ""), (3, ""), (4, texts[-1][1])], key=str)
+
+
 def test_near_duplicates_of_nothing(spark):
     assert minhash.near_duplicates(frame(spark, []).limit(0)).count() == 0
     rows = [(None, "a b c", None, None, None), (4, None, None, None, None), (4, None, None, None, None)]

@@ -14,8 +14,9 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from .common import few_ids_join, hashed_words, worker_cache, mixed, powers, stored, text_blocks
+from .common import few_ids_join, hashed_words, worker_cache, mixed, powers, small_batches, stored, text_blocks
 from .components import components
 
 _U = np.uint64
@@ -174,6 +175,11 @@ def near_duplicates(docs: DataFrame, shingle_words: int = 5, percent: int = 80,
     Nulls and empty or blank texts: an empty set, linked with nothing, kept. A null doc_id: component
     null, kept. Repeated rows: each is returned. Other columns are ignored.
     """
+    return _grouped(docs, shingle_words, percent, bands, rows, block_outside, block_members, broadcast_pairs)[0]
+
+
+def _grouped(docs: DataFrame, shingle_words: int = 5, percent: int = 80, bands: int = 36, rows: int = 6, block_outside: int = 512, block_members: int = 2048, broadcast_pairs: int = 1_000_000) -> tuple[DataFrame, DataFrame]:
+    """near_duplicates(), and the features of each row that it comes from."""
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     features = stored(docs.mapInArrow(_features(shingle_words, bands, rows), "doc_id long, n_shingles long, h1 long, h2 long, bands array<long>"), "features")
     nodes = features.where("n_shingles > 0 AND doc_id IS NOT NULL").groupBy("h1", "h2").agg(F.min("doc_id").alias("node"))
@@ -207,10 +213,41 @@ def near_duplicates(docs: DataFrame, shingle_words: int = 5, percent: int = 80,
     of_set = nodes.join(roots, "node", "left").select("h1", "h2", F.coalesce("root", "node").alias("root"))
     out = features.select("doc_id", "n_shingles", "h1", "h2").join(of_set, ["h1", "h2"], "left")
     component = F.when(F.col("n_shingles") > 0, F.col("root")).otherwise(F.col("doc_id"))
-    return out.select("doc_id", "n_shingles", F.when(F.col("doc_id").isNotNull(), component).alias("component_id")).withColumn("kept", F.col("doc_id").eqNullSafe(F.col("component_id")))
+    out = out.select("doc_id", "n_shingles", F.when(F.col("doc_id").isNotNull(), component).alias("component_id")).withColumn("kept", F.col("doc_id").eqNullSafe(F.col("component_id")))
+    return out, features
+
 
+def _with_sets(shingle_words: int):
+    """Adds to each row its number of shingles and the two hashes of their set."""
+    features = _features(shingle_words, 1, 1)
+
+    def run(batches):
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            asked = pa.record_batch([pa.array(range(batch.num_rows), pa.int64()), batch.column("text")], names=["doc_id", "text"])
+            found = pa.Table.from_batches(features([asked]))
+            sets = [found.column(c).combine_chunks() for c in ("n_shingles", "h1", "h2")]
+            yield pa.record_batch([*batch.columns, *sets], names=[*batch.schema.names, "_n", "_h1", "_h2"])
 
-def without_near_duplicates(docs: DataFrame, **options) -> DataFrame:
-    """`docs` with one document of each group of near duplicates, that of the smallest doc_id; all columns stay."""
-    dropped = stored(near_duplicates(docs, **options).where("NOT kept").select("doc_id").distinct(), "dropped")
-    return few_ids_join(docs, dropped, ["doc_id"], "left_anti")
+    return run
+
+
+def without_near_duplicates(docs: DataFrame, shingle_words: int = 5, **options) -> DataFrame:
+    """`docs` with one document of each group of near duplicates, that of the smallest doc_id; all columns stay.
+
+    Of rows with the same doc_id (or all without one) and equal shingle sets, any one stays; a row
+    without a doc_id is held against no row that has one. Rows with an empty set all stay.
+    """
+    judged, features = _grouped(docs, shingle_words, **options)
+    dropped = stored(judged.where("NOT kept").select("doc_id").distinct(), "dropped")
+    left = few_ids_join(docs, dropped, ["doc_id"], "left_anti")
+    again = stored(features.where("n_shingles > 0").groupBy("doc_id", "h1", "h2").count().where("count > 1").select(F.col("doc_id").alias("_again")).distinct(), "again")
+    n = again.count()
+    if not n:
+        return left
+    ids, same = F.broadcast(again) if n <= 1_000_000 else again, F.col("doc_id").eqNullSafe(F.col("_again"))
+    small_batches(docs.sparkSession)
+    marked = left.join(ids, same, "left_semi").mapInArrow(_with_sets(shingle_words), T.StructType([*left.schema.fields, *(T.StructField(c, T.LongType()) for c in ("_n", "_h1", "_h2"))]))
+    once = marked.where("_n > 0").dropDuplicates(["doc_id", "_h1", "_h2"]).unionByName(marked.where("_n = 0"))
+    return left.join(ids, same, "left_anti").unionByName(once.select(*left.columns))
