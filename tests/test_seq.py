@@ -102,6 +102,18 @@ def test_stretches_join_up(spark, monkeypatch):
     assert sources.int_range_closed(spark, 1, 10).gather(G.scan_sum(0)).to_list() == tuple(i * (i + 1) // 2 for i in range(11))
 
 
+def test_windows_longer_than_a_stretch(spark, monkeypatch):
+    monkeypatch.setattr(G, "STRETCH", 4)
+    got = [list(r) for r in sources.int_range(spark, 0, 30).gather(G.window_sliding(9)).to_list()]
+    assert got == [list(range(i, i + 9)) for i in range(22)]
+
+
+def test_unbounded_sources_are_tried_without_end(spark):
+    n = (1 << 20) + 5
+    assert sources.generate(spark, lambda i: i).find_first(f"value = {n}").first()["value"] == n
+    assert sources.generate(spark, lambda i: i).take_while(f"value < {n}").count() == n
+
+
 def test_fold_and_scan(spark):
     step = lambda a, x: a * 2 + x
     assert sources.of(spark, 1, 2, 3).gather(G.fold(F.lit(0), step)).to_list() == (11,)

@@ -47,20 +47,19 @@ def window_fixed(n: int, value="value", name: str = "window") -> Built:
 
 
 def _stretched(seq: Seq, overlap: int):
-    """Rows with their places, cut into stretches that also hold the `overlap` rows before them (those are marked)."""
-    placed = numbered(seq._take(), seq._order, "_p").withColumn("_s", F.floor(F.col("_p") / STRETCH))
+    """Rows with their places, cut into stretches, longer than the overlap, that also hold the `overlap` rows before them (those are marked)."""
+    stretch = max(STRETCH, overlap + 1)
+    placed = numbered(seq._take(), seq._order, "_p").withColumn("_s", F.floor(F.col("_p") / stretch))
     own = placed.withColumn("_lead", F.lit(False))
     if not overlap:
         return own
-    late = placed.where(F.col("_p") % STRETCH >= STRETCH - overlap).withColumn("_s", F.col("_s") + 1).withColumn("_lead", F.lit(True))
+    late = placed.where(F.col("_p") % stretch >= stretch - overlap).withColumn("_s", F.col("_s") + 1).withColumn("_lead", F.lit(True))
     return own.unionByName(late)
 
 
 def window_sliding(n: int, value="value", name: str = "window") -> Built:
     """Each run of n neighbouring rows; fewer rows than n give none."""
     _positive(n)
-    if n > STRETCH:
-        raise IllegalArgumentException(f"windows of more than {STRETCH} rows")
 
     def apply(seq: Seq) -> Seq:
         frame = Window.partitionBy("_s").orderBy("_p").rowsBetween(1 - n, 0)

@@ -74,18 +74,18 @@ class Unbounded:
         self._used = True
         return self._make(n)
 
-    def take_while(self, condition, most: int = 1 << 20) -> Seq:
-        """Grows the source until the condition fails once."""
+    def take_while(self, condition, most: int | None = None) -> Seq:
+        """Grows the source until the condition fails once, or `most` rows have been tried (none: without end)."""
         n = 1024
-        while n <= most:
+        while most is None or n <= most:
             if self._make(n).has_match(~true(condition)):
                 return self.limit(n).take_while(condition)
             n *= 2
         raise IllegalStateException(f"no row among {most} fails the condition")
 
-    def find_first(self, condition, most: int = 1 << 20) -> DataFrame:
+    def find_first(self, condition, most: int | None = None) -> DataFrame:
         n = 1024
-        while n <= most:
+        while most is None or n <= most:
             if self._make(n).has_match(condition):
                 return self.limit(n).filter(condition).find_first()
             n *= 2
