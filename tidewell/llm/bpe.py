@@ -1,8 +1,8 @@
 """Exact BPE by longest matches and backtracking.
 
-An Aho-Corasick automaton over the vocabulary finds, for each place of a word, the tokens that begin
-there. The encoder walks from left to right, always tries the longest token first and accepts it only
-if the pair with the token before it is compatible (byte-pair merging of the two tokens' symbols gives
+An Aho-Corasick automaton over the vocabulary finds the longest token that begins at a place of a word,
+a table the next shorter ones. The encoder walks from left to right, always tries the longest token
+first and accepts it only if the pair with the token before it is compatible (byte-pair merging of the two tokens' symbols gives
 the two tokens again). A sequence of pairwise compatible tokens is the one that merging gives, and a
 prefix has only one, so a place that once led nowhere is never tried again: linear time.
 """
@@ -39,27 +39,35 @@ def byte_letters() -> list[str]:
     return out
 
 
+#: What an entry of a cache takes besides its key and value: two objects' headers and its slot in the table.
+ENTRY_BYTES = 200
+
+
 class _Cache(dict):
-    """Remembers encode(key); of its two generations the older goes when the newer is full."""
+    """Remembers encode(key); of its two generations the older goes when the newer has `limit` bytes."""
 
     def __init__(self, encode, limit: int):
         super().__init__()
-        self.encode, self.limit, self.old = encode, limit, {}
+        self.encode, self.limit, self.old, self.size = encode, limit, {}, 0
 
     def __missing__(self, key):
         if (found := self.old.get(key)) is None:
             found = self.encode(key)
-        if len(self) >= self.limit:
-            self.old = dict(self)
+        if self.size >= self.limit:
+            self.old, self.size = dict(self), 0
             self.clear()
         self[key] = found
+        self.size += len(key) + len(found) + ENTRY_BYTES
         return found
 
 
+_NONE: dict = {}
+
+
 class Bpe:
-    """Encoder and decoder of a word-level BPE file with byte letters and word ends."""
+    """Encoder and decoder of a word-level BPE file with byte letters and word ends. Its two caches hold two generations of `cache_bytes` each, its table of pairs `most_pairs`."""
 
-    def __init__(self, path: str, chunk_limit: int = 500_000):
+    def __init__(self, path: str, cache_bytes: int = 20 << 20, most_pairs: int = 200_000):
         spec = json.load(open(path, encoding="utf-8"))
         model = spec["model"]
         self.vocab: dict[str, int] = model["vocab"]
@@ -74,24 +82,31 @@ class Bpe:
         self.letters = {i: c for i, c in enumerate(byte_letters())}
         names = {i: t for t, i in [*ids.items(), *self.special.items()]}
         self.size = max(names) + 1
+        self.rank, self.left, self.right = [-1] * self.size, [-1] * self.size, [-1] * self.size
         self.symbols: list[list[int]] = [[] for _ in range(self.size)]
-        self.automaton = ahocorasick.Automaton()
+        self.automaton, keys = ahocorasick.Automaton(), {}
         for token, i in ids.items():
             ends = token.endswith(WORD_END) and token != WORD_END
             stem = token.removesuffix(WORD_END) if ends else token
             parts = [*stem[:-1], stem[-1] + WORD_END] if ends else [*stem]
             if all(p in ids for p in parts):
                 self.symbols[i] = [ids[p] for p in parts]
-                if self.merged(self.symbols[i]) == [i]:
+                if self._derived(i):
                     key = stem + "\n" * ends
-                    self.automaton.add_word(key, (len(key), i))
+                    self.automaton.add_word(key, i)
+                    keys[key] = i
         self.automaton.make_automaton()
-        self.compatible: dict[int, bool] = {}
+        self.length, self.shorter = [0] * self.size, [-1] * self.size  # the longest token that is a prefix of this one
+        for key, i in keys.items():
+            self.length[i] = len(key)
+            self.shorter[i] = next((keys[key[:n]] for n in range(len(key) - 1, 0, -1) if key[:n] in keys), -1)
+        self.compatible: dict[int, dict[int, bool]] = {}
+        self.pairs, self.most_pairs = 0, most_pairs
         pieces = [(" " + names.get(i, "")).encode("utf-8") for i in range(self.size)]
         self.offsets = np.concatenate([[0], np.cumsum([len(p) for p in pieces])])
         self.blob = np.frombuffer(b"".join(pieces), dtype=np.uint8)
-        self.words = _Cache(self._word, chunk_limit)
-        self.chunks = _Cache(self._chunk, chunk_limit)
+        self.words = _Cache(self._word, cache_bytes)
+        self.chunks = _Cache(self._chunk, cache_bytes)
 
     def merged(self, symbols: list[int]) -> list[int]:
         """Plain byte-pair merging: the pair of least rank first, the leftmost of equals."""
@@ -104,42 +119,73 @@ class Bpe:
             out[i : i + 2] = [self.merge[out[i], out[i + 1]][1]]
         return out
 
+    def _derived(self, token: int) -> bool:
+        """Whether merging the token's symbols gives the token; notes its last merge."""
+        parts = self.symbols[token]
+        while len(parts) > 2:
+            best = min(((self.merge[p][0], i) for i, p in enumerate(zip(parts, parts[1:])) if p in self.merge), default=None)
+            if best is None:
+                return False
+            i = best[1]
+            parts = [*parts[:i], self.merge[parts[i], parts[i + 1]][1], *parts[i + 2 :]]
+        if len(parts) == 2:
+            rank, made = self.merge.get(tuple(parts), (-1, -1))
+            if made != token:
+                return False
+            self.rank[token], (self.left[token], self.right[token]) = rank, parts
+        return parts[0] == token or len(parts) == 2
+
+    def parted(self, a: int, b: int) -> bool:
+        """Whether merging the symbols of a and b gives a and b. Goes back in time from there: between two
+        merges, the pieces on both sides of the border must not have a merge that would come before the
+        next one of either; of merges of one rank the left comes first."""
+        rank, merge, limit = self.rank, self.merge, len(self.merge) + 1
+        while True:
+            crossing = merge.get((a, b))
+            ra, rb = rank[a], rank[b]
+            if crossing is not None and crossing[0] < limit and crossing[0] >= ra and crossing[0] >= rb:
+                return False
+            if ra > rb:
+                limit, a = ra, self.right[a]
+            elif rb >= 0:
+                limit, b = rb + 1, self.left[b]
+            else:
+                return True
+
     def fits(self, a: int, b: int) -> bool:
-        """The pair-compatibility table, filled as pairs come up."""
-        key = a << 32 | b
-        if (known := self.compatible.get(key)) is None:
-            if len(self.compatible) > 2_000_000:
-                self.compatible.clear()
-            known = self.compatible[key] = self.merged(self.symbols[a] + self.symbols[b]) == [a, b]
+        """An entry of the pair-compatibility table, made when the pair comes up."""
+        if self.pairs >= self.most_pairs:
+            self.compatible, self.pairs = {}, 0
+        self.pairs += 1
+        known = self.compatible.setdefault(a, {})[b] = self.parted(a, b)
         return known
 
     def word_ids(self, word: str) -> list[int]:
         """The tokens of one pre-token, by longest matches and backtracking."""
         text = word + "\n" if word.isascii() and word.isalnum() else "".join(map(self.letters.__getitem__, word.encode("utf-8"))) + "\n"
         n = len(text)
-        starts: list[list] = [[] for _ in text]
-        for end, (length, token) in self.automaton.iter(text):
-            starts[end + 1 - length].append((end + 1, token))
-        known, fits = self.compatible, self.fits
+        length, shorter, matches = self.length, self.shorter, self.automaton.iter_long
         out: list[int] = []
-        path: list[tuple] = []
-        dead: set[int] = set()
-        place, before, options = 0, -1, starts[0]
+        dead = {n - 1}  # no token is a word's end alone
+        place, token, fitting = 0, next(matches(text))[1], None
         while True:
-            while options:
-                end, token = options.pop()  # the longest that is left
-                if end not in dead and (before < 0 or known.get(key := before << 32 | token, ()) or (key not in known and fits(before, token))):
-                    break
-            else:
+            while token >= 0:
+                end = place + length[token]
+                if end not in dead:
+                    if fitting is None or (fit := fitting.get(token)) or (fit is None and self.fits(out[-1], token)):
+                        break
+                token = shorter[token]
+            else:  # no token leads on from here: the one before gives way to a shorter one
                 dead.add(place)
-                out.pop()
-                place, before, options = path.pop()
+                last = out.pop()
+                place, token = place - length[last], shorter[last]
+                fitting = self.compatible.get(out[-1], _NONE) if out else None
                 continue
             out.append(token)
             if end == n:
                 return out
-            path.append((place, before, options))
-            place, before, options = end, token, starts[end]
+            place, fitting = end, self.compatible.get(token, _NONE)
+            token = next(matches(text, end))[1]
 
     def _word(self, word: str) -> bytes:
         return array("I", self.word_ids(word)).tobytes()
@@ -148,7 +194,8 @@ class Bpe:
         if not text.isascii():
             text = unicodedata.normalize("NFC", text)
         text = text.lower() if "Σ" not in text else "".join(c.lower() for c in text)
-        return b"".join(map(self.words.__getitem__, self.pre_re.findall(text)))
+        words = self.pre_re.findall(text)
+        return self._word(words[0]) if len(words) == 1 else b"".join(map(self.words.__getitem__, words))
 
     def _chunk(self, chunk: bytes) -> bytes:
         """The ids of a run of bytes without ASCII white space; no token and no special token crosses that."""

@@ -191,7 +191,7 @@ def calibrate(model: Model, texts: list[tuple[str, list[str]]], share: float = 0
 class Judge:
     """Scores texts with a model, looking each distinct word up once."""
 
-    def __init__(self, model: Model, limit: int = 400_000, short: float = 2.0):
+    def __init__(self, model: Model, limit: int = 100_000, short: float = 2.0):
         self.model, self.limit, self.short = model, limit, short
         self.ids: dict[str, int] = {}
         self.table = np.zeros((0, len(model.languages) + 1))
@@ -277,7 +277,7 @@ class _Shared:
         return self.broadcast.value
 
 
-def _predict(shared: _Shared, limit: int = 1 << 20):
+def _predict(shared: _Shared, limit: int = 1 << 16):
     schema = pa.schema([("doc_id", pa.int64()), ("held_out", pa.bool_()), ("lang_pred", pa.string()), ("score", pa.float64()), ("entropy", pa.float64()), ("rejected", pa.bool_())])
 
     def run(batches):
