@@ -199,7 +199,7 @@ def brute_passages(rows, length):
     return out
 
 
-@pytest.mark.parametrize("options", [{}, {"batch_windows": 256, "fan_in": 2}])
+@pytest.mark.parametrize("options", [{}, {"batch_windows": 256, "fan_in": 2}, {"batch_windows": 300, "family": 3}])
 def test_passages(spark, options):
     rows = corpus()
     got = suffix_dedup.removal_digests(clashing(frame(spark, rows)), **options).collect()
@@ -230,18 +230,39 @@ def test_passages_of_odd_rows(spark):
 
 
 def test_log_index_levels():
-    index = suffix_dedup.LogIndex(4)
+    index = suffix_dedup.LogIndex(12)
     rng = np.random.default_rng(0)
     first = {}
     for batch in range(20):
-        raw = rng.integers(97, 100, 60).astype(np.uint8)
-        at = np.arange(57)
-        windows = suffix_dedup.windows_of(raw, at, "S4")
-        earlier, fresh = index.add(windows, np.full(57, batch), at)
+        raw = np.repeat(rng.integers(97, 99, 30).astype(np.uint8), 4)
+        at = np.arange(len(raw) - 11)
+        run = at // 50
+        earlier, fresh, (a, b, text, begin) = index.add(raw, at, run, (np.full(len(at), batch), np.zeros(len(at), dtype=int), at))
+        windows = [raw[i : i + 12].tobytes() for i in at]
         for i, w in enumerate(windows):
             assert earlier[i] == (w in first) and fresh[i] == (w not in first)
             first.setdefault(w, (batch, i))
-    assert len(index.levels) <= 8
+        assert [text[begin[k] : begin[k + 1]].tobytes() for k in range(len(a))] == [raw[x : y + 12].tobytes() for x, y in zip(a, b)]
+    assert len(index.levels) <= 6
+    for level in index.levels:
+        windows = [w.tobytes() for w in level.windows("S12")]
+        assert windows == sorted(set(windows))
+        assert all(first[w] == (d, s) for w, d, s in zip(windows, level.first[0], level.first[2]))
+
+
+def test_passages_of_clashing_ids_and_columns(spark):
+    """Different texts with one doc_id are documents of their own; callers' columns keep their names and values."""
+    rng = random.Random(9)
+    text = lambda n: "".join(rng.choice("abcdefgh ") for _ in range(n))
+    shared, a, b, c = text(150), text(300), text(200), text(100)
+    rows = [(1, a + shared, None, None, None), (1, b + shared, None, None, None), (2, c + shared, None, None, None)]
+    got = [(r.doc_id, r.n_bytes, r.n_removed) for r in suffix_dedup.removal_digests(frame(spark, rows)).collect()]
+    assert sum(r[2] for r in got) in (300, 301, 302) and (2, 250, 150) in [(d, n, min(m, 150)) for d, n, m in got]
+    odd = frame(spark, rows).withColumns({n: F.col("doc_id") for n in ("_print", "_kept", "print", "row", "kept_text", "sub", "_doc")})
+    left = suffix_dedup.remaining_texts(odd)
+    assert left.columns == odd.columns
+    assert {(r._print, r._kept, r.row, r.kept_text, r.sub) for r in left.collect()} == {(1,) * 5, (2,) * 5}
+    assert sorted(len(r.text) for r in left.where("doc_id = 2").collect()) <= [100]
 
 
 # Top-k

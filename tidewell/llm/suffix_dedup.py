@@ -5,16 +5,19 @@ of least hash in the window, the leftmost of equals), so windows are dealt out b
 only those whose minimizer comes up more than once in the corpus are looked at. Neighbouring windows
 with one minimizer travel together, as one run of bytes.
 
-A batch of runs gets a suffix array: its windows sorted by their bytes. Batches come in the order of
-(document, start). Each is merge-scanned against the levels that are there, matches are told, what is
-new becomes a level, and levels of like size merge, so there are logarithmically many. The tasks that
-cut the runs do this for small batches first, so of what is frequent each sends one copy on; where
+A batch of runs gets a suffix array: the places of its windows in the order of the bytes that follow,
+compared to the depth of a window. Batches come in the order of (document, start). Each is merge-scanned
+against the levels that are there: both arrays are walked side by side, and neighbours in the common
+order whose longest common prefix is a whole window are matches. What is new becomes a level of its own,
+text and suffix array, and levels of like size merge, so there are logarithmically many. The tasks that
+cut the runs send them through such a family first, so of what is frequent each sends one copy on; where
 there are many tasks, groups of them are merged before all are.
 """
 
 from __future__ import annotations
 
 import math
+from dataclasses import dataclass
 from hashlib import sha256
 
 import numpy as np
@@ -23,7 +26,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import byte_codes, few_ids_join, worker_cache, mixed, powers, prefix_hash, small_batches, stored
+from .common import byte_codes, discard, few_ids_join, mixed, powers, prefix_hash, small_batches, stored, worker_cache
 
 _U = np.uint64
 _PLACE_BITS = 28
@@ -82,8 +85,8 @@ def raw_column(batch, name: str) -> list:
 
 
 def _anchors(length: int, k: int):
-    """(anchor, doc_id, many): the distinct minimizers of each document, and whether one has several runs there."""
-    schema = pa.schema([("anchor", pa.int64()), ("doc_id", pa.int64()), ("many", pa.bool_())])
+    """(doc_id, anchors): the minimizers of each document or segment of one, twice if one has several runs there."""
+    schema = pa.schema([("doc_id", pa.int64()), ("anchors", pa.list_(pa.int64()))])
 
     def run(batches):
         worker_cache(None)
@@ -95,46 +98,90 @@ def _anchors(length: int, k: int):
                 order = np.lexsort((anchor, text))
                 anchor, text = anchor[order], text[order]
                 new = np.concatenate([[True], (anchor[1:] != anchor[:-1]) | (text[1:] != text[:-1])])[: len(anchor)]
-                begin = np.flatnonzero(new)
-                many = np.diff(np.append(begin, len(anchor))) > 1
-                yield pa.record_batch([pa.array(anchor[begin].view(np.int64)), pa.array(ids[text[begin]], pa.int64()), pa.array(many)], schema=schema)
+                nth = np.arange(len(anchor)) - np.flatnonzero(new)[np.cumsum(new) - 1] if len(anchor) else anchor
+                anchor, text = anchor[nth < 2], text[nth < 2]
+                begin = np.flatnonzero(np.concatenate([[True], text[1:] != text[:-1]])[: len(text)])
+                lists = pa.ListArray.from_arrays(pa.array(np.append(begin, len(text)).astype(np.int32)), pa.array(anchor.view(np.int64)))
+                yield pa.record_batch([pa.array(ids[text[begin]], pa.int64()), lists], schema=schema)
 
     return run
 
 
+@dataclass
+class Level:
+    """A text and the suffix array of its windows, all different: where they begin, in the order of their bytes; and for each the place (document, text, start) where it first stands."""
+
+    raw: np.ndarray
+    places: np.ndarray
+    first: tuple
+
+    def windows(self, kind: str) -> np.ndarray:
+        return windows_of(self.raw, self.places, kind)
+
+    def merged(self, other: Level, kind: str) -> Level:
+        order = side_by_side(self.windows(kind), other.windows(kind))[1]
+        join = lambda a, b: np.concatenate([a, b])[order]
+        return Level(np.concatenate([self.raw, other.raw]), join(self.places, other.places + len(self.raw)), tuple(map(join, self.first, other.first)))
+
+
+def suffix_order(windows: np.ndarray, words: np.ndarray) -> np.ndarray:
+    """The suffix array of a batch: windows by their first eight bytes (as numbers), those that agree there by all; equal ones as they came."""
+    order = np.argsort(words, kind="stable")
+    tie = words[order][1:] == words[order][:-1]
+    tied = np.concatenate([[False], tie]) | np.concatenate([tie, [False]]) if len(order) else np.zeros(0, dtype=bool)
+    rest = order[tied]
+    order[tied] = rest[np.argsort(windows[rest], kind="stable")]
+    return order
+
+
+def side_by_side(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Two sorted runs of windows as one, and where each of a, then b, comes from. The sort is a natural merge: it walks along both runs once."""
+    both = np.concatenate([a, b])
+    order = np.argsort(both, kind="stable")
+    return both[order], order
+
+
 class LogIndex:
-    """A logarithmic family of sorted arrays of distinct windows with the first place (document, start) of each."""
+    """A logarithmic family of suffix arrays over the distinct windows met so far."""
 
     def __init__(self, length: int):
-        self.kind, self.levels = f"S{length}", []
-
-    def add(self, windows: np.ndarray, doc: np.ndarray, start: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Takes a batch in the order of (doc, start), later than all before it; tells which windows stand earlier, and which came up for the first time."""
-        order = np.argsort(windows, kind="stable")
+        self.length, self.kind, self.levels, self.batches = length, f"S{length}", [], 0
+
+    def add(self, raw: np.ndarray, at: np.ndarray, run: np.ndarray, place: tuple) -> tuple[np.ndarray, np.ndarray, tuple]:
+        """Takes a batch of windows (at `at` in raw, of the runs `run`) in the order of their places (document, text, start), later than all before it.
+        Tells which windows stand earlier, which came up for the first time, and these as stretches: (first, last, text, where each one's begins)."""
+        self.batches += 1
+        windows = windows_of(raw, at, self.kind)
+        order = suffix_order(windows, first_bytes(raw, at))
         sorted_ = windows[order]
         new = np.concatenate([[True], sorted_[1:] != sorted_[:-1]])[: len(order)]
-        group = np.cumsum(new) - 1
-        leader = order[new]
-        unique, first_doc, first_start = sorted_[new], doc[leader].copy(), start[leader].copy()
+        group, leader, unique = np.cumsum(new) - 1, order[new], sorted_[new]
+        first = tuple(p[leader].copy() for p in place)
         known = np.zeros(len(unique), dtype=bool)
-        for values, docs, starts in self.levels:
-            spot = np.minimum(np.searchsorted(values, unique), len(values) - 1)
-            hit = ~known & (values[spot] == unique)
-            known |= hit
-            first_doc[hit], first_start[hit] = docs[spot[hit]], starts[spot[hit]]
+        for level in self.levels:
+            merged, source = side_by_side(level.windows(self.kind), unique)
+            size = len(level.places)
+            pair = np.flatnonzero(merged[1:] == merged[:-1])  # the level's own one comes first
+            mine, theirs = source[pair + 1] - size, source[pair]
+            known[mine] = True
+            for own, other in zip(first, level.first):
+                own[mine] = other[theirs]
         earlier = np.empty(len(order), dtype=bool)
-        earlier[order] = (first_doc[group] != doc[order]) | (first_start[group] != start[order])
+        earlier[order] = np.logical_or.reduce([f[group] != p[order] for f, p in zip(first, place)])
         fresh = np.zeros(len(order), dtype=bool)
         fresh[leader[~known]] = True
+        a, b = stretches(fresh, run)
+        size = b - a + self.length
+        begin = np.concatenate([[0], np.cumsum(size)])
+        text = raw[np.repeat(at[a] - begin[:-1], size) + np.arange(begin[-1])]
         if not known.all():
-            level = (unique[~known], first_doc[~known], first_start[~known])
-            while self.levels and len(self.levels[-1][0]) <= 2 * len(level[0]):
-                other = self.levels.pop()
-                both = [np.concatenate([a, b]) for a, b in zip(other, level)]
-                by = np.argsort(both[0], kind="stable")
-                level = tuple(x[by] for x in both)
+            moved = np.zeros(len(order), dtype=np.int64)
+            moved[fresh] = (np.repeat(begin[:-1] - at[a], b - a + 1)) + at[fresh]
+            level = Level(text, moved[leader[~known]], tuple(f[~known] for f in first))
+            while self.levels and len(self.levels[-1].places) <= 2 * len(level.places):
+                level = self.levels.pop().merged(level, self.kind)
             self.levels.append(level)
-        return earlier, fresh
+        return earlier, fresh, (a, b, text, begin)
 
 
 def windows_of(raw: np.ndarray, at: np.ndarray, kind: str) -> np.ndarray:
@@ -143,6 +190,11 @@ def windows_of(raw: np.ndarray, at: np.ndarray, kind: str) -> np.ndarray:
     return np.ndarray(shape=(max(0, len(raw) - length + 1),), dtype=kind, buffer=raw, strides=(1,))[at]
 
 
+def first_bytes(raw: np.ndarray, at: np.ndarray) -> np.ndarray:
+    """The first eight bytes of windows, of which each has that many, as numbers of the same order."""
+    return np.ndarray(shape=(max(0, len(raw) - 7),), dtype=">u8", buffer=raw, strides=(1,))[at].astype(np.uint64)
+
+
 def stretches(flag: np.ndarray, run: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """First and last index of the maximal stretches of set flags within equal runs."""
     same = run[1:] == run[:-1]
@@ -151,12 +203,12 @@ def stretches(flag: np.ndarray, run: np.ndarray) -> tuple[np.ndarray, np.ndarray
     return np.flatnonzero(first), np.flatnonzero(last)
 
 
-RUNS = pa.schema([("anchor", pa.int64()), ("part", pa.int32()), ("doc_id", pa.int64()), ("start", pa.int64()), ("windows", pa.int32()), ("bytes", pa.binary())])
-RUNS_SQL = "anchor long, part int, doc_id long, start long, windows int, bytes binary"
+RUNS = pa.schema([("anchor", pa.int64()), ("part", pa.int32()), ("doc_id", pa.int64()), ("sub", pa.int32()), ("start", pa.int64()), ("windows", pa.int32()), ("bytes", pa.binary())])
+RUNS_SQL = "anchor long, part int, doc_id long, sub int, start long, windows int, bytes binary"
 
 
-def _sifted(index_of, raw, length, anchor, doc, start, base, count, part, batch_windows, ship):
-    """Sends runs (sorted by doc and start; bytes at `base` in raw) through indexes in batches: rows of matches (no bytes) and, if they are to be shipped, of new runs."""
+def _sifted(index_of, raw, length, anchor, doc, sub, start, base, count, part, batch_windows, ship):
+    """Sends runs (sorted by doc, sub and start; bytes at `base` in raw) through indexes in batches: rows of matches (no bytes) and, if they are to be shipped, of new runs."""
     begin = 0
     total = np.cumsum(count)
     while begin < len(count):
@@ -165,24 +217,32 @@ def _sifted(index_of, raw, length, anchor, doc, start, base, count, part, batch_
         run = np.repeat(np.arange(end - begin), count[rows])
         inside = np.arange(len(run)) - np.repeat(np.cumsum(count[rows]) - count[rows], count[rows])
         at, place = base[rows][run] + inside, start[rows][run] + inside
-        earlier, fresh = index_of().add(windows_of(raw, at, f"S{length}"), doc[rows][run], place)
-        for flag, with_bytes in ((earlier, False), (fresh, True)):
-            if with_bytes and not ship:
-                continue
-            a, b = stretches(flag, run)
-            own = run[a]
-            content = pa.array([raw[x : y + length].tobytes() for x, y in zip(at[a], at[b])], pa.binary()) if with_bytes else pa.nulls(len(a), pa.binary())
-            yield pa.record_batch([pa.array(anchor[rows][own]), pa.array(np.full(len(a), part, dtype=np.int32)), pa.array(doc[rows][own]), pa.array(place[a]), pa.array((b - a + 1).astype(np.int32)), content], schema=RUNS)
+        earlier, _, (c, d, text, bounds) = index_of().add(raw, at, run, (doc[rows][run], sub[rows][run], place))
+        a, b = stretches(earlier, run)
+        content = pa.nulls(len(a), pa.binary())
+        if ship:
+            a, b = np.concatenate([a, c]), np.concatenate([b, d])
+            new = pa.Array.from_buffers(pa.binary(), len(c), [None, pa.py_buffer(bounds.astype(np.int32)), pa.py_buffer(text)])
+            content = pa.concat_arrays([content, new])
+        own = run[a]
+        yield pa.record_batch([pa.array(anchor[rows][own]), pa.array(np.full(len(a), part, dtype=np.int32)), pa.array(doc[rows][own]), pa.array(sub[rows][own]), pa.array(place[a]), pa.array((b - a + 1).astype(np.int32)), content], schema=RUNS)
         begin = end
 
 
-def _cut(length: int, k: int, batch_windows: int):
-    """Documents with the minimizers that are repeated -> runs, each batch sifted by its own suffix array."""
+def _cut(length: int, k: int, batch_windows: int, family: int):
+    """Documents (sorted by doc_id, sub) with the minimizers that are repeated -> runs, sifted by a family of suffix arrays that spans the task's batches (a new one after `family` of them, which bounds memory)."""
 
     def run(batches):
         part = TaskContext.get().partitionId()
+        held = [LogIndex(length)]
+
+        def index() -> LogIndex:
+            if held[0].batches >= family:
+                held[0] = LogIndex(length)
+            return held[0]
+
         for batch in batches:
-            ids = batch.column("doc_id").to_numpy(zero_copy_only=False).astype(np.int64)
+            ids, subs = (batch.column(c).to_numpy(zero_copy_only=False).astype(t) for c, t in (("doc_id", np.int64), ("sub", np.int32)))
             wanted = batch.column("anchors")
             sizes = np.diff(wanted.offsets.to_numpy())
             repeated = mixed(wanted.flatten().to_numpy().view(np.uint64) ^ mixed(np.repeat(np.arange(len(ids)), sizes).astype(np.uint64), 3))
@@ -194,10 +254,10 @@ def _cut(length: int, k: int, batch_windows: int):
                 keep = np.isin(mixed(anchor ^ mixed(text.astype(np.uint64), 3)), repeated)
                 piece, at, count, anchor, text = piece[keep], at[keep], count[keep], anchor[keep], text[keep]
                 begins = np.concatenate([[0], np.cumsum([len(p) for p in pieces])[:-1]])
-                start, doc = at - begins[piece] + offset[piece], ids[text]
-                order = np.lexsort((start, doc))
+                start, doc, sub = at - begins[piece] + offset[piece], ids[text], subs[text]
+                order = np.lexsort((start, sub, doc))
                 raw = np.frombuffer(b"".join(pieces), dtype=np.uint8)
-                yield from _sifted(lambda: LogIndex(length), raw, length, anchor.view(np.int64)[order], doc[order], start[order], at[order], count[order], part, batch_windows, True)
+                yield from _sifted(index, raw, length, anchor.view(np.int64)[order], doc[order], sub[order], start[order], at[order], count[order], part, batch_windows, True)
 
     return run
 
@@ -208,13 +268,13 @@ def _merged(length: int, batch_windows: int, ship: bool):
         is_run = table.column("bytes").is_valid().to_numpy(zero_copy_only=False)
         passed = table.filter(pa.array(~is_run)).select(RUNS.names).cast(RUNS)
         runs = table.filter(pa.array(is_run))
-        doc, start = runs.column("doc_id").to_numpy(), runs.column("start").to_numpy()
-        order = np.lexsort((start, doc))
+        doc, sub, start = (runs.column(c).to_numpy() for c in ("doc_id", "sub", "start"))
+        order = np.lexsort((start, sub, doc))
         content = runs.column("bytes").take(pa.array(order)).to_pylist()
         raw = np.frombuffer(b"".join(content), dtype=np.uint8)
         base = np.concatenate([[0], np.cumsum([len(c) for c in content])[:-1]]).astype(np.int64) if content else np.zeros(0, dtype=np.int64)
         index = LogIndex(length)
-        parts = list(_sifted(lambda: index, raw, length, runs.column("anchor").to_numpy()[order], doc[order], start[order], base, runs.column("windows").to_numpy()[order], int(table.column("part")[0].as_py() or 0), batch_windows, ship))
+        parts = list(_sifted(lambda: index, raw, length, runs.column("anchor").to_numpy()[order], doc[order], sub[order], start[order], base, runs.column("windows").to_numpy()[order], int(table.column("part")[0].as_py() or 0), batch_windows, ship))
         return pa.concat_tables([passed, pa.Table.from_batches(parts, schema=RUNS)])
 
     return run
@@ -248,31 +308,38 @@ def prepared(docs: DataFrame) -> DataFrame:
     return docs.withColumn("print", F.unhex(F.md5(F.coalesce("text", F.lit("")))))
 
 
-def whole_copies(docs: DataFrame, length: int = 100) -> DataFrame:
-    """(doc_id, print) of the documents from prepared() whose whole text, of `length` bytes at least, is that of a smaller doc_id: all of it stands earlier."""
+def whole_copies(docs: DataFrame, length: int = 100, broadcast_rows: int = 1_000_000) -> DataFrame:
+    """(doc_id, print) of the documents from prepared() whose whole text, of `length` bytes at least, is that of a smaller doc_id: all of it stands earlier.
+    The first of each text that comes up twice is broadcast behind a check of their number; beyond, the digests (not the texts) are joined."""
     long = docs.where(f"doc_id IS NOT NULL AND octet_length(text) >= {length}").select("doc_id", "print")
-    firsts = long.groupBy("print").agg(F.min("doc_id").alias("first"), F.max("doc_id").alias("last")).where("first < last").select("print", "first")
-    return stored(long.join(firsts, "print").where("doc_id > first").select("doc_id", "print").distinct(), "copies")
+    firsts = stored(long.groupBy("print").agg(F.min("doc_id").alias("first"), F.max("doc_id").alias("last")).where("first < last").select("print", "first"), "firsts")
+    few = firsts.count() <= broadcast_rows
+    return stored(long.join(F.broadcast(firsts) if few else firsts, "print").where("doc_id > first").select("doc_id", "print").distinct(), "copies")
 
 
-def repeated_spans(docs: DataFrame, copies: DataFrame, then, schema: str, length: int = 100, k: int = 32, batch_windows: int = 1 << 15, fan_in: int = 256) -> DataFrame:
+def repeated_spans(docs: DataFrame, copies: DataFrame, then, schema: str, length: int = 100, k: int = 32, batch_windows: int = 1 << 15, fan_in: int = 256, family: int = 16) -> DataFrame:
     """What `then` makes of Arrow batches (doc_id, print, text, begins, ends): the byte spans of each document of `docs` (from prepared())
     that are covered by a string of `length` bytes that also starts earlier (smaller doc_id, or same document and smaller start). Left
     out: documents without any, and whole copies, whose strings all stand in their first one.
 
     Nulls, texts shorter than `length` and rows with a null doc_id: no spans. Rows repeated with the
-    same doc_id are one document: its strings don't stand earlier than themselves.
+    same doc_id and text are one document: its strings don't stand earlier than themselves. Different
+    texts with one doc_id are documents one after the other, in an order that is always the same. Long
+    texts are cut into overlapping segments, so a text of any length takes the memory of a segment here;
+    its row has to fit an Arrow batch.
     """
     spark = docs.sparkSession
     small_batches(spark)
     docs = few_ids_join(docs.where(f"doc_id IS NOT NULL AND octet_length(text) >= {length}"), copies, ["doc_id", "print"], "left_anti")
-    anchors = docs.select("doc_id", "text").mapInArrow(_anchors(length, k), "anchor long, doc_id long, many boolean")
-    counted = anchors.groupBy("anchor").agg(F.count("*").alias("docs"), F.max("many").alias("many")).where("docs > 1 OR many").select("anchor")
+    lists = stored(docs.select("doc_id", "text").mapInArrow(_anchors(length, k), "doc_id long, anchors array<long>"), "minimizers")
+    anchors = lists.select("doc_id", F.explode("anchors").alias("anchor"))
+    counted = anchors.groupBy("anchor").agg(F.count("*").alias("n")).where("n > 1").select("anchor")
     wanted = stored(anchors.join(counted, "anchor").groupBy("doc_id").agg(F.collect_set("anchor").alias("anchors")), "anchors")
+    discard(lists)
     total = wanted.agg(F.sum(F.size("anchors"))).first()[0] or 0
-    candidates = stored(few_ids_join(docs, wanted.select("doc_id"), ["doc_id"], "left_semi").join(wanted, "doc_id"), "candidates")
-    rows = candidates.select("doc_id", "text", "anchors").mapInArrow(_cut(length, k, batch_windows), RUNS_SQL)
-    buckets = max(1, math.ceil(total * (length - k) / 2 / (4 * batch_windows)))
+    candidates = stored(few_ids_join(docs, wanted.select("doc_id"), ["doc_id"], "left_semi").join(wanted, "doc_id").withColumn("sub", F.hash("print")), "candidates")
+    rows = candidates.select("doc_id", "sub", "text", "anchors").sortWithinPartitions("doc_id", "sub").mapInArrow(_cut(length, k, batch_windows, family), RUNS_SQL)
+    buckets = max(1, math.ceil(total * (length - k) / 2 / (family * batch_windows)))
     bucket = F.when(F.col("bytes").isNotNull(), F.pmod("anchor", F.lit(buckets))).otherwise(F.pmod(F.xxhash64("doc_id", "start"), F.lit(buckets)))
     parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), candidates.rdd.getNumPartitions())
     group = fan_in
@@ -280,8 +347,8 @@ def repeated_spans(docs: DataFrame, copies: DataFrame, then, schema: str, length
         rows = rows.groupBy(bucket.alias("bucket"), F.floor(F.col("part") / group).alias("group")).applyInArrow(_merged(length, batch_windows, True), RUNS_SQL)
         group *= fan_in
     rows = rows.groupBy(bucket.alias("bucket")).applyInArrow(_merged(length, batch_windows, False), RUNS_SQL)
-    found = stored(rows.groupBy("doc_id").agg(F.collect_list(F.struct("start", "windows")).alias("found")), "found")
-    left = few_ids_join(candidates.drop("anchors"), found.select("doc_id"), ["doc_id"], "left_semi").join(found, "doc_id").withColumn("n_bytes", F.octet_length("text"))
+    found = stored(rows.groupBy("doc_id", "sub").agg(F.collect_list(F.struct("start", "windows")).alias("found")), "found")
+    left = few_ids_join(candidates.drop("anchors"), found.select("doc_id", "sub"), ["doc_id", "sub"], "left_semi").join(found, ["doc_id", "sub"]).withColumn("n_bytes", F.octet_length("text"))
     return left.mapInArrow(_spans(length, then), schema)
 
 
@@ -301,7 +368,8 @@ def _digested(batches):
 
 
 def removal_digests(docs: DataFrame, **options) -> DataFrame:
-    """One row per row of `docs`: doc_id, n_bytes, n_removed, n_spans, kept_sha256. Null text: empty. Null doc_id: nothing is removed. Other columns are ignored."""
+    """One row per row of `docs`: doc_id, n_bytes, n_removed, n_spans, kept_sha256. Null text: empty. Null doc_id: nothing is removed.
+    An empty table: no rows. What repeated rows and rows that share a doc_id mean: as in repeated_spans(). Other columns are ignored."""
     docs = prepared(docs)
     copies = whole_copies(docs, options.get("length", 100))
     schema = "doc_id long, print binary, n_removed long, n_spans long, kept_sha256 string"
@@ -322,11 +390,12 @@ def _texts(batches):
 
 
 def remaining_texts(docs: DataFrame, **options) -> DataFrame:
-    """`docs` with every text cut down to its remaining bytes; characters of which only some bytes remain go too. All columns and rows stay."""
-    keyed = docs.withColumn("_print", F.unhex(F.md5(F.coalesce(F.col("text").cast("string"), F.lit("")))))
+    """`docs` with every text cut down to its remaining bytes; characters of which only some bytes remain go too. All columns, whatever their names, and all rows stay."""
     own = prepared(docs)
+    keyed = docs.select(F.struct("*").alias("row"), F.col("doc_id").cast("long").alias("doc_id"), F.unhex(F.md5(F.coalesce(F.col("text").cast("string"), F.lit("")))).alias("print"))
     copies = whole_copies(own, options.get("length", 100))
     cut = repeated_spans(own, copies, _texts, "doc_id long, print binary, kept_text string", **options).dropDuplicates(["doc_id", "print"])
-    found = stored(cut.unionByName(copies.select("doc_id", "print", F.lit("").alias("kept_text"))), "texts").withColumnsRenamed({"doc_id": "_doc", "print": "_print_found", "kept_text": "_kept"})
-    joined = keyed.join(found, (keyed["doc_id"] == found["_doc"]) & (keyed["_print"] == found["_print_found"]), "left")
-    return joined.withColumn("text", F.coalesce("_kept", "text")).select(*docs.columns)
+    found = stored(cut.unionByName(copies.select("doc_id", "print", F.lit("").alias("kept_text"))), "texts")
+    joined = keyed.join(found, ["doc_id", "print"], "left")
+    field = lambda c: F.col("row").getField(c)
+    return joined.select(*((F.coalesce("kept_text", field(c)) if c == "text" else field(c)).alias(c) for c in docs.columns))
