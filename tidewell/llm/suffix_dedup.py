@@ -109,36 +109,48 @@ def _anchors(length: int, k: int):
 
 @dataclass
 class Level:
-    """A text and the suffix array of its windows, all different: where they begin, in the order of their bytes; and for each the place (document, text, start) where it first stands."""
+    """A text and the suffix array of its windows, all different: where they begin, in the order of their bytes, their first bytes as numbers, and for each the place (document, text, start) where it first stands."""
 
     raw: np.ndarray
     places: np.ndarray
+    words: np.ndarray
     first: tuple
 
-    def windows(self, kind: str) -> np.ndarray:
-        return windows_of(self.raw, self.places, kind)
+    def windows(self, kind: str, some=slice(None)) -> np.ndarray:
+        return windows_of(self.raw, self.places[some], kind)
 
     def merged(self, other: Level, kind: str) -> Level:
-        order = side_by_side(self.windows(kind), other.windows(kind))[1]
-        join = lambda a, b: np.concatenate([a, b])[order]
-        return Level(np.concatenate([self.raw, other.raw]), join(self.places, other.places + len(self.raw)), tuple(map(join, self.first, other.first)))
+        size, words = len(self.places), np.concatenate([self.words, other.words])
+        raw, places = np.concatenate([self.raw, other.raw]), np.concatenate([self.places, other.places + len(self.raw)])
+        order = suffix_order(words, lambda some: windows_of(raw, places[some], kind))
+        return Level(raw, places[order], words[order], tuple(np.concatenate([a, b])[order] for a, b in zip(self.first, other.first)))
 
 
-def suffix_order(windows: np.ndarray, words: np.ndarray) -> np.ndarray:
-    """The suffix array of a batch: windows by their first eight bytes (as numbers), those that agree there by all; equal ones as they came."""
+def suffix_order(words: np.ndarray, windows) -> np.ndarray:
+    """The order of windows by their first bytes, as numbers, and where those agree by all bytes (`windows` gives those of some); equal ones as they came.
+    Of two sorted runs, one behind the other, the sort is a natural merge: it walks along both once."""
     order = np.argsort(words, kind="stable")
     tie = words[order][1:] == words[order][:-1]
     tied = np.concatenate([[False], tie]) | np.concatenate([tie, [False]]) if len(order) else np.zeros(0, dtype=bool)
     rest = order[tied]
-    order[tied] = rest[np.argsort(windows[rest], kind="stable")]
+    order[tied] = rest[np.argsort(windows(rest), kind="stable")]
     return order
 
 
-def side_by_side(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Two sorted runs of windows as one, and where each of a, then b, comes from. The sort is a natural merge: it walks along both runs once."""
-    both = np.concatenate([a, b])
+def common_windows(level: Level, words: np.ndarray, windows, kind: str) -> tuple[np.ndarray, np.ndarray]:
+    """The matches of a merge-scan of a level and sorted windows, all different: (which of the level, which of the windows). Both are walked by their
+    first bytes; only where these agree, neighbours in the common order are compared as a whole."""
+    low = np.searchsorted(level.words, words)
+    mine = np.flatnonzero(level.words[np.minimum(low, len(level.words) - 1)] == words)
+    high = np.searchsorted(level.words, words[mine], side="right")
+    inside = np.zeros(len(level.words) + 1, dtype=np.int64)
+    np.add.at(inside, low[mine], 1)
+    np.add.at(inside, high, -1)
+    theirs = np.flatnonzero(np.cumsum(inside)[:-1])
+    both = np.concatenate([level.windows(kind, theirs), windows(mine)])
     order = np.argsort(both, kind="stable")
-    return both[order], order
+    pair = np.flatnonzero(both[order][1:] == both[order][:-1])  # the level's own one comes first
+    return theirs[order[pair]], mine[order[pair + 1] - len(theirs)]
 
 
 class LogIndex:
@@ -151,18 +163,17 @@ class LogIndex:
         """Takes a batch of windows (at `at` in raw, of the runs `run`) in the order of their places (document, text, start), later than all before it.
         Tells which windows stand earlier, which came up for the first time, and these as stretches: (first, last, text, where each one's begins)."""
         self.batches += 1
-        windows = windows_of(raw, at, self.kind)
-        order = suffix_order(windows, first_bytes(raw, at))
-        sorted_ = windows[order]
-        new = np.concatenate([[True], sorted_[1:] != sorted_[:-1]])[: len(order)]
-        group, leader, unique = np.cumsum(new) - 1, order[new], sorted_[new]
+        words, windows = first_bytes(raw, at), lambda some: windows_of(raw, at[some], self.kind)
+        order = suffix_order(words, windows)
+        same = words[order][1:] == words[order][:-1]
+        i = np.flatnonzero(same)
+        same[i] = windows(order[i]) == windows(order[i + 1])
+        new = np.concatenate([[True], ~same])[: len(order)]
+        group, leader = np.cumsum(new) - 1, order[new]
         first = tuple(p[leader].copy() for p in place)
-        known = np.zeros(len(unique), dtype=bool)
+        known = np.zeros(len(leader), dtype=bool)
         for level in self.levels:
-            merged, source = side_by_side(level.windows(self.kind), unique)
-            size = len(level.places)
-            pair = np.flatnonzero(merged[1:] == merged[:-1])  # the level's own one comes first
-            mine, theirs = source[pair + 1] - size, source[pair]
+            theirs, mine = common_windows(level, words[leader], lambda some: windows(leader[some]), self.kind)
             known[mine] = True
             for own, other in zip(first, level.first):
                 own[mine] = other[theirs]
@@ -177,7 +188,7 @@ class LogIndex:
         if not known.all():
             moved = np.zeros(len(order), dtype=np.int64)
             moved[fresh] = (np.repeat(begin[:-1] - at[a], b - a + 1)) + at[fresh]
-            level = Level(text, moved[leader[~known]], tuple(f[~known] for f in first))
+            level = Level(text, moved[leader[~known]], words[leader[~known]], tuple(f[~known] for f in first))
             while self.levels and len(self.levels[-1].places) <= 2 * len(level.places):
                 level = self.levels.pop().merged(level, self.kind)
             self.levels.append(level)
