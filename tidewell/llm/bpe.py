@@ -21,7 +21,7 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import worker_cache
+from .common import raw_column, worker_cache
 
 # Fixed values of the tokenizer's file format: white space of the Unicode property, and its pre-token pattern.
 WHITE = r"\t-\r \x85\xa0  -     　"
@@ -229,10 +229,6 @@ def loaded(path: str) -> Bpe:
     return worker_cache("bpe", path, lambda: Bpe(path))
 
 
-def raw_texts(batch, column: str = "text") -> list:
-    return batch.column(column).cast(pa.binary()).to_pylist()
-
-
 def _digests(path: str, decode_tokens: int = 500_000):
     schema = pa.schema([("doc_id", pa.int64()), ("n_tokens", pa.int64()), ("ids_sha256", pa.string()), ("decoded_sha256", pa.string())])
 
@@ -250,7 +246,7 @@ def _digests(path: str, decode_tokens: int = 500_000):
 
         for batch in batches:
             n, encoded, decoded, held, size = [], [], [], [], 0
-            for raw in raw_texts(batch):
+            for raw in raw_column(batch, "text"):
                 ids = bpe.encode(raw or b"")
                 n.append(len(ids) // 4)
                 encoded.append(sha256(ids).hexdigest())
@@ -268,7 +264,8 @@ def _digests(path: str, decode_tokens: int = 500_000):
 def token_digests(docs: DataFrame, path: str) -> DataFrame:
     """doc_id, n_tokens, ids_sha256, decoded_sha256 of every row of `docs` (doc_id, text); one pass, no shuffle.
 
-    Null and blank texts: no tokens, digests of nothing. Repeated rows: each is returned. Other columns are ignored.
+    Null and blank texts: no tokens, digests of nothing. A null doc_id stays null. Very long texts: encoded run by run
+    between white space, in the memory of their ids. Repeated rows: each is returned. An empty table: no rows. Other columns are ignored.
     """
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     return docs.mapInArrow(_digests(path), "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string")

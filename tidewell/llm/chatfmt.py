@@ -158,7 +158,7 @@ def formatted(conversations: DataFrame, template: Callable[[list], str] = instru
     part from that turn alone, as `instruct` does: then a conversation of any length needs the memory of
     two turns once its first turns are proved. Null role or text: empty. Null turn:
     first. Null conv_id: those rows are one conversation with a null id. Repeated rows are turns of
-    their own. An empty table: no rows. Other columns are ignored.
+    their own. The query's planted conversation has the id -7: rows of the table with that id would be turns of it. An empty table: no rows. Other columns are ignored.
     """
     rows = conversations.select(F.col("conv_id").cast("long").alias("conv_id"), F.col("turn").cast("long").alias("turn"), F.col("role").cast("string").alias("role"), F.col("text").cast("string").alias("text"))
     ordered = rows.repartition("conv_id").sortWithinPartitions("conv_id", "turn", "role", "text").select("conv_id", "role", "text")

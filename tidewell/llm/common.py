@@ -60,9 +60,11 @@ def small_batches(spark: SparkSession, rows: int = 2000) -> None:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that all executors see: spark.checkpoint.dir, or a temporary one where it is unset (one machine)."""
+    """The folder that all executors see: spark.checkpoint.dir, or a temporary one where it is unset and all tasks run in this process."""
     found = spark.conf.get("spark.checkpoint.dir", None)
     if not found:
+        if spark.sparkContext.master.split("[")[0] != "local":
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
         found = tempfile.mkdtemp(prefix="tidewell-")
         atexit.register(shutil.rmtree, found, ignore_errors=True)
         spark.conf.set("spark.checkpoint.dir", found)
@@ -86,6 +88,11 @@ def discard(df: DataFrame) -> None:
         where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(where, True)
 
 
+def raw_column(batch, name: str) -> list:
+    """The UTF-8 bytes of a column of texts, None where it is null."""
+    return batch.column(name).cast(pa.binary()).to_pylist()
+
+
 def text_blocks(batch, columns, text="text", limit=BLOCK_BYTES):
     """Splits an Arrow batch into runs of rows of at most about `limit` text bytes; yields (columns as lists, texts as UTF-8)."""
     others = [batch.column(c) for c in columns]

@@ -32,6 +32,11 @@ def path_of(url: Column) -> Column:
     return F.coalesce(F.regexp_extract(url, r"(?s)^.*?://[^/?#]*([^?#]*)", 1), F.lit(""))
 
 
+def bare(host: Column) -> Column:
+    """A host without user and port: what a node of the graph is named by."""
+    return F.regexp_replace(host, r"^[^@]*@|:\d*$", "")
+
+
 def fits(host: Column, rule_host: str) -> Column:
     return (host == rule_host) | host.endswith(f".{rule_host}")
 
@@ -83,14 +88,15 @@ def judged(pages: DataFrame, rules: list = RULES, floor: float = 0.1, ratio: flo
     paths fits. `floor` is a share of the mean over hosts; ranks are
     iterated until they change by less than a hundredth of it. Only counts for each pair of hosts are
     shuffled; a host with many pages is joined, never gathered. Null urls and urls without `://`: host and
-    path empty, no rule, allowed. Null html: no links. Repeated rows: each is judged, and its links count.
-    An empty table: no rows. Other columns are ignored.
+    path empty, no rule, allowed. In the graph hosts count without user and port. Null html: no links.
+    Very long html: its links become rows one by one, of which only counts for pairs of hosts are kept.
+    Repeated rows: each is judged, and its links count. An empty table: no rows. Other columns are ignored.
     """
     pages = pages.select(F.col("page_id").cast("long").alias("page_id"), F.col("url").cast("string").alias("url"), F.col("html").cast("string").alias("html"))
-    links = pages.select(host_of(F.col("url")).alias("src"), F.explode(F.regexp_extract_all("html", F.lit(LINK), 1)).alias("dst"))
-    links = links.select("src", F.translate(F.regexp_replace("dst", r"^[^@]*@|:\d*$", ""), UPPER, LOWER).alias("dst"))
+    links = pages.select(bare(host_of(F.col("url"))).alias("src"), F.explode(F.regexp_extract_all("html", F.lit(LINK), 1)).alias("dst"))
+    links = links.select("src", F.translate(bare(F.col("dst")), UPPER, LOWER).alias("dst"))
     edges = stored(links.where("src <> '' AND dst <> '' AND src <> dst").groupBy("src", "dst").agg(F.count("*").alias("n")), "edges")
-    own = pages.select(host_of(F.col("url")).alias("host")).where("host <> ''").distinct()
+    own = pages.select(bare(host_of(F.col("url"))).alias("host")).where("host <> ''").distinct()
     known = own.unionByName(edges.select(F.col("src").alias("host"))).unionByName(edges.select(F.col("dst").alias("host"))).distinct()
     any_of = lambda which: F.greatest(F.lit(0), *(F.when(fits(F.col("host"), h), 1).otherwise(0) for v, h, p in rules if which(v, p)), F.lit(0))
     blocked = any_of(lambda v, p: v == "block" and p == "/")
@@ -98,6 +104,6 @@ def judged(pages: DataFrame, rules: list = RULES, floor: float = 0.1, ratio: flo
     many = max(1, hosts.count())
     scores = host_scores(hosts, edges, tolerance=max(0.01 * floor / many, 1e-15))
     bad = scores.withColumn("bad", (F.col("distrust") > floor / many) & (F.col("distrust") > ratio * F.col("trust")))
-    out = ruled(pages.select("page_id", "url"), rules).join(bad, "host", "left")
+    out = ruled(pages.select("page_id", "url"), rules).withColumn("node", bare(F.col("host"))).join(bad.withColumnRenamed("host", "node"), "node", "left")
     verdict = F.coalesce("by_rule", F.when(F.col("bad"), "block").otherwise("allow"))
     return out.select("page_id", "host", "path", "rule", verdict.alias("verdict"), F.coalesce("trust", F.lit(0.0)).alias("trust"), F.coalesce("distrust", F.lit(0.0)).alias("distrust"))

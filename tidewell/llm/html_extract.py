@@ -1,11 +1,15 @@
 """Main-text extraction by tag-path ratios.
 
-Each block of text belongs to a root-to-leaf path of block tags. Over a page, the text length, the
-punctuation and the link text of each path are summed; a path's ratio is its text times its
-punctuation per block, without what is link text. Ratios are smoothed over sibling paths (with the
-mean of all paths under the same parent), fused with the ratio of the enclosing article, and paths
-above a threshold drawn from their deviation give the content blocks. Paths through menus, forms,
-asides and the like count as noise.
+Each block of text belongs to a root-to-leaf path of block tags with their classes. Over a page, the text
+length, the punctuation and the link text of each path are summed. A path's ratio is its text for each
+block, times its punctuation, less what is link text. Ratios are smoothed with those of the paths that
+stand directly in the same container, fused with the container's mass (the text and punctuation that
+stand directly in it; the nearer and heavier of the enclosing containers counts), and paths above a share
+of the page's best are its content. So an advertisement between two containers has the ratio of its own
+few words, and a headline or a short list has that of the article around it.
+
+Outside all of that are elements that HTML itself sets apart (menus, asides, forms, scripts). Labels by
+which authors name what isn't the article (a class or id like `comments`) weigh a path's ratio down.
 """
 
 from __future__ import annotations
@@ -27,31 +31,31 @@ SCOPES = {"ul", "ol", "dl", "table", "article", "section", "main", "body", "html
 NOISE_TAGS = {"nav", "footer", "aside", "form", "button", "select", "option", "dialog", "svg", "head", "menu", "object", "audio", "video", "canvas", "fieldset"}
 NOISE_ROLES = {"navigation", "banner", "contentinfo", "complementary", "search", "dialog", "alert"}
 NOISE_NAMES = re.compile(r"(ad|ads|adbox|advert\w*|sponsor\w*|promo\w*|banner|cookie\w*|consent|notice|notification|alert|popup|modal|sidebar|menu|nav\w*|breadcrumbs?|footer|header|masthead|share|sharing|social|related|recommend\w*|newsletter|subscribe|subscription|comments?|comment-?list|disqus\w*|replies|widget|pagination|pager|skip-?link|hidden)([-_](box|area|bar|list|section|container|wrapper|block|thread|form|unit|slot|\d+))*", re.I)
-CONTENT = {"article", "main"}
+SECTIONS = {"article", "main", "section"}  # a header within one belongs to its content
 
 TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<![^>]*>|<\?[^>]*>|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']++|\"[^\"]*+\"|'[^']*+')*+)>", re.S)
 ATTRIBUTE = re.compile(r"([^\s=/\"'>]+)\s*=\s*(\"[^\"]*\"|'[^']*'|[^\s\"'>]+)")
 PUNCTUATION = re.compile(r"[.,;:!?…。、！？؟،]")
 
 
-def _noise(tag: str, attributes: str) -> bool:
-    if tag in NOISE_TAGS:
-        return True
+def _step(tag: str, attributes: str) -> tuple[str, bool, bool]:
+    """An element as a step of a path: its tag with its class, whether HTML sets it apart or hides it, and whether its author's labels do."""
     if not attributes or tag in ("html", "body", "main", "article"):
-        return False
+        return tag, tag in NOISE_TAGS, False
+    apart, label, name_of = tag in NOISE_TAGS, False, tag
     for name, value in ATTRIBUTE.findall(attributes):
         name, value = name.lower(), value.strip("\"'")
-        if name in ("class", "id") and any(NOISE_NAMES.fullmatch(x) for x in value.split()):
-            return True
-        if name == "role" and value.lower() in NOISE_ROLES or name == "aria-hidden" and value.lower() == "true" or name == "style" and re.search(r"display\s*:\s*none", value, re.I):
-            return True
-    return bool(re.search(r"(^|\s)hidden(\s|=|/|$)", ATTRIBUTE.sub(lambda m: " hidden " if m[1].lower() == "hidden" else " ", attributes), re.I))
+        if name == "class":
+            name_of = f"{tag}.{value}"
+        label |= name in ("class", "id") and any(NOISE_NAMES.fullmatch(x) for x in value.split())
+        apart |= name == "role" and value.lower() in NOISE_ROLES or name == "aria-hidden" and value.lower() == "true" or name == "style" and bool(re.search(r"display\s*:\s*none", value, re.I))
+    return name_of, apart or bool(re.search(r"(^|\s)hidden(\s|=|/|$)", ATTRIBUTE.sub(lambda m: " hidden " if m[1].lower() == "hidden" else " ", attributes), re.I)), label
 
 
 def blocks(page: str) -> list[tuple[tuple, bool, bool, str, int]]:
-    """The page's text blocks in order: (path, in noise, in an article, text, characters of links)."""
+    """The page's text blocks in order: (path, set apart by HTML, labelled by the author, text, characters of links)."""
     out: list[tuple] = []
-    stack: list[tuple[str, bool]] = []
+    stack: list[tuple[str, tuple]] = []
     held: list[str] = []
     links = depth = at = 0
 
@@ -59,9 +63,9 @@ def blocks(page: str) -> list[tuple[tuple, bool, bool, str, int]]:
         nonlocal held, links
         text = " ".join(html.unescape("".join(held)).split())
         if text:
-            names = tuple(t for t, _ in stack)
-            noise = any(n for _, n in stack) or ("header" in names and not CONTENT & {*names})
-            out.append((names, noise, bool(CONTENT & {*names}), text, min(links, len(text))))
+            tags = {t for t, _ in stack}
+            apart = any(step[1] for _, step in stack) or ("header" in tags and not SECTIONS & tags)
+            out.append((tuple(step[0] for _, step in stack), apart, any(step[2] for _, step in stack), text, min(links, len(text))))
         held, links = [], 0
 
     def add(text: str):
@@ -114,37 +118,41 @@ def blocks(page: str) -> list[tuple[tuple, bool, bool, str, int]]:
                 k = max(i for i, (t, _) in enumerate(stack) if t == "p")
                 if not any(t in SCOPES for t, _ in stack[k + 1 :]):
                     del stack[k:]
-            stack.append((tag, _noise(tag, m[3])))
+            stack.append((tag, _step(tag, m[3])))
     flush()
     return out
 
 
-def main_text(page: str | None, strength: float = 0.3) -> str:
-    """Content blocks in page order, joined by line feeds."""
-    found = blocks(page or "")
+def path_scores(found: list[tuple], labelled: float = 0.001, further: float = 0.7) -> dict[tuple, float]:
+    """The fused score of each path of blocks(); `labelled` is the weight of what the author's labels set apart, `further` that of a container one step further out."""
     sums: dict[tuple, list] = {}
-    for path, noise, inside, text, links in found:
-        s = sums.setdefault((path, noise), [0, 0, 0, 0, inside])
-        s[0] += 1
-        s[1] += len(text) - links
-        s[2] += len(PUNCTUATION.findall(text))
-        s[3] += links
-    ratio = {k: 0.0 if k[1] else s[1] / s[0] * (1 + log1p(s[2] / s[0])) * (s[1] / max(1, s[1] + s[3])) for k, s in sums.items()}
-    siblings: dict[tuple, list] = {}
-    for (path, noise), r in ratio.items():
-        if not noise:
-            siblings.setdefault(path[:-1], []).append(r)
-    smooth = {k: 0.0 if k[1] else (r + sum(siblings[k[0][:-1]]) / len(siblings[k[0][:-1]])) / 2 for k, r in ratio.items()}
-    best = max((smooth[k] for k, s in sums.items() if s[4] and not k[1]), default=0.0)
-    fused = {k: max(smooth[k], best) if s[4] and not k[1] else smooth[k] for k, s in sums.items()}
-    live = [v for v in fused.values() if v > 0]
-    if not live:
-        return ""
-    mean = sum(live) / len(live)
-    limit = min(strength * sqrt(sum((v - mean) ** 2 for v in live) / len(live)) + 0.25 * mean, max(live))
-    if best:  # an article: what stands outside it has to match it
-        limit = max(limit, min(best, max(live)))
-    return "\n".join(text for path, noise, _, text, _ in found if not noise and fused[path, noise] > 0 and fused[path, noise] >= limit)
+    for path, apart, label, text, links in found:
+        if not apart:
+            s = sums.setdefault((path, label), [0, 0, 0, 0])
+            for k, n in enumerate((1, len(text) - links, len(PUNCTUATION.findall(text)), links)):
+                s[k] += n
+    own = {p: text / n * (1 + log1p(points / n)) * text / max(1, text + links) for p, (n, text, points, links) in sums.items()}
+    mass: dict[tuple, float] = {}
+    inside: dict[tuple, list] = {}
+    for (path, label), (_, text, points, _) in sums.items():
+        weight = labelled if label else 1.0
+        mass[path[:-1]] = mass.get(path[:-1], 0.0) + weight * text * (1 + log1p(points))
+        inside.setdefault(path[:-1], []).append(weight * own[path, label])
+    out = {}
+    for (path, label), (_, text, _, links) in sums.items():
+        around = [path[:k] for k in range(max(0, len(path) - 1), -1, -1) if path[:k] in mass]
+        heavy, container = max(((mass[a] * further ** (len(path) - 1 - len(a)), a) for a in around), key=lambda x: x[0])
+        smooth = (own[path, label] + sum(inside[container]) / len(inside[container])) / 2
+        out[path, label] = sqrt(smooth * heavy) * text / max(1, text + links) * (labelled if label else 1.0)
+    return out
+
+
+def main_text(page: str | None, share: float = 0.15) -> str:
+    """Content blocks in page order, joined by line feeds: those of paths whose score is at least `share` of the best. Without any path but labelled ones, none."""
+    found = blocks(page or "")
+    scores = path_scores(found)
+    best = max((v for (_, label), v in scores.items() if not label), default=0.0)
+    return "\n".join(text for path, apart, label, text, _ in found if not apart and 0 < best and scores[path, label] >= share * best)
 
 
 SCHEMA = pa.schema([("page_id", pa.int64()), ("url", pa.string()), ("text", pa.string()), ("n_chars", pa.int64())])
@@ -160,7 +168,8 @@ def extracted(pages: DataFrame) -> DataFrame:
     """One row per row of `pages` (page_id, url, html): page_id, url, text, n_chars; one pass, no shuffle.
 
     Null and empty pages, and pages without content: an empty text. Markup that breaks off or is not
-    closed ends where its container ends. Repeated rows: each is returned. Other columns are ignored.
+    closed ends where its container ends. Very long pages: read once from start to end, in the memory of
+    the page. Repeated rows: each is returned. An empty table: no rows. Other columns are ignored.
     """
     pages = pages.select(F.col("page_id").cast("long").alias("page_id"), F.col("url").cast("string").alias("url"), F.col("html").cast("string").alias("html"))
     return pages.mapInArrow(_extract, "page_id long, url string, text string, n_chars long")

@@ -240,12 +240,14 @@ def _count_words(batches):
 
 
 def training_rows(docs: DataFrame, per_language: int) -> DataFrame:
-    """At most `per_language` labelled rows of each language, those of least hash; held-out rows never. Their ids (that bounded number) are broadcast, so no other text moves."""
+    """At most `per_language` labelled documents of each language, those of least hash; held-out rows never. Their ids (that bounded number) are
+    broadcast, so no other text moves. Rows repeated with one doc_id and language are one document, with the least of their texts."""
     labelled = docs.where("lang IS NOT NULL AND text IS NOT NULL AND doc_id IS NOT NULL AND crc32(cast(doc_id AS string)) % 3 <> 1").select("doc_id", "lang", F.xxhash64("doc_id").alias("h"))
     rate = labelled.groupBy("lang").agg(F.count("*").alias("n")).select("lang", (F.lit(2.0 * per_language + 50) / F.col("n")).alias("rate"))
-    thin = labelled.join(rate, "lang").where((F.col("h") / F.lit(2.0**64) + 0.5) < F.col("rate"))  # bounds what each language sorts
+    thin = labelled.join(F.broadcast(rate), "lang").where((F.col("h") / F.lit(2.0**64) + 0.5) < F.col("rate")).distinct()  # a row for each language is broadcast; bounds what each language sorts
     best = thin.withColumn("k", F.row_number().over(Window.partitionBy("lang").orderBy("h", "doc_id"))).where(F.col("k") <= per_language)
-    return docs.join(F.broadcast(best.select("doc_id", "lang", "k")), ["doc_id", "lang"]).select("doc_id", "lang", "text", (F.col("k") % 5 == 0).alias("own"))
+    picked = docs.join(F.broadcast(best.select("doc_id", "lang", "k")), ["doc_id", "lang"]).where("text IS NOT NULL")
+    return picked.groupBy("doc_id", "lang", "k").agg(F.min("text").alias("text")).select("doc_id", "lang", "text", (F.col("k") % 5 == 0).alias("own"))
 
 
 def fit(docs: DataFrame, per_language: int = 250) -> Model | None:
@@ -304,7 +306,9 @@ def identified(docs: DataFrame, per_language: int = 250, learn_from: DataFrame |
     (crc32 of doc_id as text mod 3 is 1), and broadcast; its size is bounded by the sample's. Prediction
     sees texts only. Null texts and texts without a letter: `und`, score 0, rejected. No labelled rows:
     `und` everywhere. Null doc_id: not held out, never learned from. Ties: the first language by name.
-    Repeated rows: each is returned. Other columns are ignored.
+    Repeated rows: each is returned; in training they are one. Very long texts are counted whole. An empty
+    table: no rows. The model has a column for each value of lang, so these should be few, as languages are.
+    Other columns are ignored.
     """
     clean = lambda d: d.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"), F.col("lang").cast("string").alias("lang"))
     docs = clean(docs)

@@ -16,7 +16,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import few_ids_join, hashed_words, worker_cache, mixed, powers, small_batches, stored, text_blocks
+from .common import BLOCK_BYTES, few_ids_join, hashed_words, mixed, powers, raw_column, small_batches, stored, text_blocks, worker_cache
 from .components import components
 
 _U = np.uint64
@@ -91,14 +91,23 @@ def _features(k: int, bands: int, rows: int):
     return run
 
 
-def _compared(k: int, percent: int, slice_rows: int = 256):
+def _slices(batch: pa.RecordBatch, rows: int, limit: int):
+    """Parts of a batch of pairs of at most so many rows and about so many bytes of text."""
+    size = np.cumsum([len(a) + len(b) for a, b in zip(raw_column(batch, "ta"), raw_column(batch, "tb"))])
+    start = 0
+    while start < batch.num_rows:
+        end = max(start + 1, min(start + rows, int(np.searchsorted(size, (size[start - 1] if start else 0) + limit, side="right"))))
+        yield batch.slice(start, end - start)
+        start = end
+
+
+def _compared(k: int, percent: int, slice_rows: int = 256, slice_bytes: int = 4 * BLOCK_BYTES):
     """Pairs with texts (sorted by b) -> each pair's link and how a differs from b: |b minus a| and the hashes that only one has."""
     schema = pa.schema([("a", pa.int64()), ("b", pa.int64()), ("linked", pa.bool_()), ("n_a", pa.int64()), ("n_b", pa.int64()), ("removed", pa.int64()), ("delta", pa.binary())])
 
     def run(batches):
         for whole in batches:
-            for start in range(0, whole.num_rows, slice_rows):
-                batch = whole.slice(start, slice_rows)
+            for batch in _slices(whole, slice_rows, slice_bytes):
                 b = batch.column("b").to_pylist()
                 new = [i for i in range(len(b)) if i == 0 or b[i] != b[i - 1]]
                 texts = [t.encode("utf-8", "surrogatepass") for t in (*batch.column("ta").to_pylist(), *batch.column("tb").take(pa.array(new)).to_pylist())]
@@ -173,7 +182,10 @@ def near_duplicates(docs: DataFrame, shingle_words: int = 5, percent: int = 80,
     set. So no link between two members of a bucket is lost, and no pair but a link becomes a row.
 
     Nulls and empty or blank texts: an empty set, linked with nothing, kept. A null doc_id: component
-    null, kept. Repeated rows: each is returned. Other columns are ignored.
+    null, kept. Repeated rows: each is returned. Rows with one doc_id and different texts: one node, with
+    all of their sets, held against others by the least of its texts. Very long texts: a set takes eight
+    bytes for each shingle, and a task holds as many texts at a time as `BLOCK_BYTES` lets in, one at
+    least. An empty table: no rows. Other columns are ignored.
     """
     return _grouped(docs, shingle_words, percent, bands, rows, block_outside, block_members, broadcast_pairs)[0]
 
@@ -190,18 +202,19 @@ def _grouped(docs: DataFrame, shingle_words: int = 5, percent: int = 80, bands:
     ids = star.select(F.col("a").alias("doc_id")).unionByName(star.select(F.col("b").alias("doc_id"))).distinct()
     if star.count() <= broadcast_pairs:  # so at most twice as many ids of 8 bytes; beyond, whole texts are shuffled once
         ids = F.broadcast(ids)
-    texts = docs.join(ids, "doc_id", "left_semi").dropDuplicates(["doc_id"])
+    texts = docs.join(ids, "doc_id", "left_semi").where("text IS NOT NULL").groupBy("doc_id").agg(F.min("text").alias("text"))
     left = star.hint("merge").join(texts.select(F.col("doc_id").alias("a"), F.col("text").alias("ta")), "a")
     pairs = left.hint("merge").join(texts.select(F.col("doc_id").alias("b"), F.col("text").alias("tb")), "b").select("a", "b", "ta", "tb")
     compared = stored(pairs.mapInArrow(_compared(shingle_words, percent), COMPARED), "compared")
     edges = compared.where("linked").select("a", "b")
     roots = stored(components(edges), "roots")
 
+    few = lambda df: F.broadcast(df) if df.count() <= broadcast_pairs else df  # noqa: E731  a hot leader's rows then stay where they are
     mine, leaders = roots.select(F.col("node").alias("a"), F.col("root").alias("ra")), roots.select(F.col("node").alias("b"), F.col("root").alias("rb"))
     placed = compared.join(mine, "a", "left").join(leaders, "b", "left").select("a", "b", F.coalesce("ra", "a").alias("root"), F.coalesce("rb", "b").alias("home"), "n_a", "n_b", "removed", "delta")
     outside = F.col("root") != F.col("home")
-    sizes = placed.groupBy("b").agg(F.count_if(outside).alias("n_out"), F.count("*").alias("n_all")).where("n_out > 0 AND n_all > 1")
-    cut = placed.join(sizes.select("b", F.ceil(F.col("n_out") / block_outside).alias("rows"), F.ceil(F.col("n_all") / block_members).alias("cols")), "b").withColumn("outside", outside)
+    sizes = stored(placed.groupBy("b").agg(F.count_if(outside).alias("n_out"), F.count("*").alias("n_all")).where("n_out > 0 AND n_all > 1"), "sizes")
+    cut = placed.join(few(sizes.select("b", F.ceil(F.col("n_out") / block_outside).alias("rows"), F.ceil(F.col("n_all") / block_members).alias("cols"))), "b").withColumn("outside", outside)
     spot = lambda n: F.pmod(F.xxhash64("a"), F.col(n))
     keep = ["b", "r", "c", "outside", F.col("a").alias("node"), "root", "n_a", "n_b", "removed", "delta"]
     first = cut.where("outside").withColumn("r", spot("rows")).withColumn("c", F.explode(F.sequence(F.lit(0).cast("long"), F.col("cols") - 1))).select(*keep)

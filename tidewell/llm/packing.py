@@ -17,8 +17,8 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .bpe import loaded, raw_texts
-from .common import stored
+from .bpe import loaded
+from .common import raw_column, stored
 
 
 def _pieces(path: str, capacity: int, end_id: int):
@@ -32,7 +32,7 @@ def _pieces(path: str, capacity: int, end_id: int):
         seen = [0] * (capacity + 1)
         for batch in batches:
             rows = {n: [] for n in names}
-            for doc, raw in zip(batch.column("doc_id").to_pylist(), raw_texts(batch)):
+            for doc, raw in zip(batch.column("doc_id").to_pylist(), raw_column(batch, "text")):
                 ids = bpe.encode(raw or b"") + end
                 n = len(ids) // 4
                 for k, start in enumerate(range(0, n, capacity)):
@@ -146,12 +146,13 @@ def _placed(plan: np.ndarray, capacity: int):
     return run
 
 
-def packed(docs: DataFrame, path: str, capacity: int = 2048, end_id: int = 0) -> DataFrame:
+def packed(docs: DataFrame, path: str, capacity: int = 2048, end_id: int = 0, broadcast_ranks: int = 1_000_000) -> DataFrame:
     """One row per piece of the rows of `docs` (doc_id, text): doc_id, piece, start, length, ids_crc32, sequence_id, offset.
 
     A document is its token ids, then end_id; only longer ones than `capacity` are cut, into pieces of
     that length. A piece's rank among those of its length is its place in its task plus what earlier
-    tasks have; those counts (tasks x lengths) are summed in Spark. Null and blank texts: the end id
+    tasks have; those counts (tasks x lengths) are summed in Spark, broadcast up to `broadcast_ranks` of
+    them and joined by a shuffle of the pieces (without texts) beyond. Null and blank texts: the end id
     alone. Repeated rows: each is packed. An empty table: no rows. Other columns are ignored.
     """
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
@@ -162,5 +163,7 @@ def packed(docs: DataFrame, path: str, capacity: int = 2048, end_id: int = 0) ->
     histogram = np.zeros(capacity + 1, dtype=np.int64)
     for length, n in base.groupBy("length").agg(F.sum("n")).collect():  # at most `capacity` rows
         histogram[length] = n
-    ranked = pieces.join(base.select("part", "length", "base"), ["part", "length"]).withColumn("rank", F.col("base") + F.col("nth"))
+    ranks = base.select("part", "length", "base")
+    ranks = F.broadcast(ranks) if base.count() <= broadcast_ranks else ranks.hint("merge")
+    ranked = pieces.join(ranks, ["part", "length"]).withColumn("rank", F.col("base") + F.col("nth"))
     return ranked.mapInArrow(_placed(packing_plan(histogram, capacity), capacity), "doc_id long, piece int, start long, length long, ids_crc32 long, sequence_id long, offset long")

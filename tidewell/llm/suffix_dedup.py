@@ -26,7 +26,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import byte_codes, discard, few_ids_join, mixed, powers, prefix_hash, small_batches, stored, worker_cache
+from .common import byte_codes, discard, few_ids_join, mixed, powers, prefix_hash, raw_column, small_batches, stored, worker_cache
 
 _U = np.uint64
 _PLACE_BITS = 28
@@ -80,10 +80,6 @@ def segments(texts: list, length: int):
         yield pieces, np.array(owner), np.array(offset)
 
 
-def raw_column(batch, name: str) -> list:
-    return batch.column(name).cast(pa.binary()).to_pylist()
-
-
 def _anchors(length: int, k: int):
     """(doc_id, anchors): the minimizers of each document or segment of one, twice if one has several runs there."""
     schema = pa.schema([("doc_id", pa.int64()), ("anchors", pa.list_(pa.int64()))])

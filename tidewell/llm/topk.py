@@ -83,18 +83,19 @@ def _unpacked(ids: bytes, vectors: bytes) -> tuple[np.ndarray, np.ndarray]:
 
 
 def _grouped(scale: float, every: int, k: int, group_rows: int):
-    """Vectors in order of their ids -> groups with their queries and each query's k-th score at home."""
+    """Vectors in order of their ids (all rows of an id in one task) -> groups with their queries and each query's k-th score at home."""
     schema = pa.schema([("group", pa.int64()), ("ids", pa.binary()), ("vectors", pa.binary()), ("queries", pa.binary()), ("kth", pa.binary())])
 
     def run(batches):
-        part, n = TaskContext.get().partitionId(), 0
+        part, n, before = TaskContext.get().partitionId(), 0, None
         for whole in batches:
             for start in range(0, whole.num_rows, group_rows):
                 ids, vectors = whole_vectors(whole.slice(start, group_rows), scale)
                 if not len(ids):
                     continue
                 asks = np.flatnonzero(ids % every == 0)
-                asks = asks[np.concatenate([[True], ids[asks][1:] != ids[asks][:-1]])[: len(asks)]]
+                asks = asks[np.concatenate([ids[asks][:1] != before, ids[asks][1:] != ids[asks][:-1]])]  # the first row of an id asks
+                before = ids[-1]
                 lowest = np.iinfo(np.int64).min
                 home = search(ids, vectors, ids[asks], vectors[asks], np.full(len(asks), lowest), k)
                 kth = np.array([int(s[-1]) if len(s) == k else lowest for _, s in home], dtype=np.int64)
@@ -109,8 +110,10 @@ def _searched(k: int):
         for batch in batches:
             for row in batch.to_pylist():
                 ids, vectors = _unpacked(row["ids"], row["vectors"])
-                query_ids, queries = _unpacked(row["query_ids"], row["query_vectors"])
-                found = search(ids, vectors, query_ids, queries, np.frombuffer(row["kth"], dtype=np.int64), k)
+                blocks = [_unpacked(b["query_ids"], b["query_vectors"]) for b in row["block"]]
+                width = max(q.shape[1] for _, q in blocks)
+                query_ids, queries = np.concatenate([i for i, _ in blocks]), np.concatenate([np.pad(q, ((0, 0), (0, width - q.shape[1]))) for _, q in blocks])
+                found = search(ids, vectors, query_ids, queries, np.frombuffer(b"".join(b["kth"] for b in row["block"]), dtype=np.int64), k)
                 yield pa.record_batch([pa.array(np.repeat(query_ids, [len(i) for i, _ in found])), pa.array(np.concatenate([i for i, _ in found])), pa.array(np.concatenate([s for _, s in found]))], schema=HITS)
 
     return run
@@ -129,20 +132,24 @@ def _asked(batches):
             yield pa.record_batch([pa.array(c, f.type) for c, f in zip(zip(*rows), schema)], schema=schema)
 
 
-def best_matches(vectors: DataFrame, k: int = 10, every: int = 100, scale: float = 1024.0, group_rows: int = 4096) -> DataFrame:
+def best_matches(vectors: DataFrame, k: int = 10, every: int = 100, scale: float = 1024.0, group_rows: int = 4096, block_groups: int = 64) -> DataFrame:
     """query_id, rank, vec_id, score: the k best of all other rows of `vectors` (vec_id, embedding) for each row whose vec_id is divisible by `every`.
 
-    Every query meets every group once, as blocks of numbers: one row per pair of groups, never of
-    vectors. Ties go to the smaller vec_id. Vectors that are null or hold null or non-finite components
+    Queries are packed into blocks of those of `block_groups` groups, and every block meets every group
+    once, as blocks of numbers: one row per pair of these, never of vectors. Ties go to the smaller vec_id. Vectors that are null or hold null or non-finite components
     take no part; components that one of two vectors lacks count as zero. Repeated rows: each is a
-    candidate; rows with the query's own id are not. Fewer than k others: all. Other columns are ignored.
+    candidate; rows with the query's own id are not; an id asks once, with the least of its vectors. Fewer
+    than k others: all. Components have to stay below 2^53 when scaled. An empty table: no rows. Other
+    columns are ignored.
     """
     ordered = vectors.select(F.col("vec_id").cast("long").alias("vec_id"), F.col("embedding").cast("array<double>").alias("embedding")).where("vec_id IS NOT NULL AND embedding IS NOT NULL")
     parts = int(vectors.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    groups = stored(ordered.repartitionByRange(parts, "vec_id").sortWithinPartitions("vec_id").mapInArrow(_grouped(scale, every, k, group_rows), GROUPS), "groups")
+    groups = stored(ordered.repartitionByRange(parts, "vec_id").sortWithinPartitions("vec_id", "embedding").mapInArrow(_grouped(scale, every, k, group_rows), GROUPS), "groups")
     asked = groups.mapInArrow(_asked, "from long, query_ids binary, query_vectors binary, kth binary")
     numbers = [r[0] for r in groups.select("group").orderBy("group").collect()]  # one number per group of `group_rows` vectors
-    spread = asked.withColumn("group", F.explode(F.lit(numbers).cast("array<long>")))
+    blocks = max(1, -(-len(numbers) // block_groups))
+    packed = asked.groupBy(F.pmod(F.xxhash64("from"), F.lit(blocks)).alias("n")).agg(F.collect_list(F.struct("query_ids", "query_vectors", "kth")).alias("block"))
+    spread = packed.select("block", F.explode(F.lit(numbers).cast("array<long>")).alias("group"))
     hits = groups.select("group", "ids", "vectors").join(spread, "group").mapInArrow(_searched(k), HITS_SQL)
     order = Window.partitionBy("query_id").orderBy(F.col("score").desc(), "vec_id")
     return hits.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
