@@ -8,8 +8,9 @@ from __future__ import annotations
 
 from collections.abc import Callable
 from dataclasses import dataclass, replace
+from itertools import count
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 CONCURRENT, UNORDERED, IDENTITY_FINISH = "concurrent", "unordered", "identity_finish"
@@ -21,25 +22,37 @@ def _col(c) -> Column:
 
 @dataclass(frozen=True)
 class Context:
-    """What a collector may use: the place of a row (compares as the order does), the same backwards if the order is by numbers, and the rows it is limited to."""
+    """What a collector may use: the place of a row (compares as the order does), the same backwards if the order is by numbers, and the rows it is
+    limited to: by a condition and, where rows were expanded, by the flat_mapping that made them (0: none, the rows themselves)."""
 
     place: Column
     back: Column | None = None
     where: Column | None = None
+    branch: int | None = None
+
+    def _mine(self) -> Column | None:
+        both = [c for c in (self.where, None if self.branch is None else F.col("_branch") == self.branch) if c is not None]
+        return F.coalesce(both[0] & both[1] if len(both) == 2 else both[0], F.lit(False)) if both else None
 
     def only(self, c: Column) -> Column:
-        return c if self.where is None else F.when(F.coalesce(self.where, F.lit(False)), c)
+        return c if (mine := self._mine()) is None else F.when(mine, c)
 
     def counted(self) -> Column:
-        return F.lit(True) if self.where is None else F.coalesce(self.where, F.lit(False))
+        return F.lit(True) if (mine := self._mine()) is None else mine
 
 
 @dataclass(frozen=True)
 class Collector:
+    """`expands`: (branch, branch whose rows are expanded, array) of each flat_mapping within. `numbers`: needs places that can be turned round.
+    `drops_empty`: a group without rows for it has no result, and `present` says which have."""
+
     aggregate: Callable[[Context], Column]
     empty: Column | None = None
     characteristics: frozenset = frozenset()
-    explode: Column | None = None  # flat_mapping: what the rows are expanded by before grouping
+    expands: tuple = ()
+    numbers: bool = False
+    drops_empty: bool = False
+    present: Callable[[Context], Column] | None = None
 
     def has(self, characteristic: str) -> bool:
         return characteristic in self.characteristics
@@ -92,13 +105,54 @@ def summing_int(value) -> Collector:
     return Collector(lambda c: wrapped_int(F.coalesce(F.sum(c.only(_col(value).cast("long"))), F.lit(0).cast("long"))))
 
 
-def exact_double_sum(value: Column, scale: int = 2) -> Column:
-    """A sum of doubles with `scale` decimals, exact whatever the order: the numbers are summed as decimals."""
-    return F.sum(value.cast(f"decimal(18,{scale})")).cast("double")
-
-
-def summing_double(value, scale: int = 2) -> Collector:
-    return Collector(lambda c: exact_double_sum(c.only(_col(value)), scale), F.lit(0.0))
+#: Digits of exact sums: how many, the bits of each, and the power of two that the lowest counts.
+DIGITS, DIGIT_BITS, LOWEST = 8, 24, -96
+
+
+def exact_double_sum(value: Column) -> Column:
+    """The sum of any doubles, the same whatever the partitioning; null for no values.
+
+    Doubles that stand for decimals of up to six places are summed as these decimals. Others are cut into
+    whole digits of 2^24 (from 2^-96 up to 2^95). Digits are summed as longs, so nothing is lost until
+    their sums are put together, from the highest down. What lies outside that range (also infinities and
+    NaN) is summed as doubles.
+    """
+    x = value.cast("double")
+    millionths = F.rint(x * F.lit(1e6))
+    decimal = (F.abs(millionths) < F.lit(2.0**53)) & (millionths / F.lit(1e6) == x)
+    units = F.when(decimal, millionths)
+    parts = [F.rint(units * F.lit(2.0 ** (-18 * k))) for k in range(4)]
+    tally = F.lit(0).cast("decimal(38,0)")
+    for k in range(3):
+        part = parts[k] - parts[k + 1] * F.lit(2.0**18) if k < 2 else parts[k]
+        tally = (tally + (F.coalesce(F.sum(part.cast("long")), F.lit(0)).cast("decimal(20,0)") * F.lit(2 ** (18 * k)).cast("decimal(12,0)"))).cast("decimal(38,0)")
+    as_decimals = (tally.cast("decimal(38,6)") * F.lit("0.000001").cast("decimal(6,6)")).cast("decimal(38,6)").cast("double")
+    fits = F.abs(x) < F.lit(2.0**95)  # NaN counts as larger
+    inside = F.when(fits & ~decimal, x)
+    whole = [F.rint(inside * F.lit(2.0 ** -(LOWEST + DIGIT_BITS * k))) for k in range(DIGITS + 1)]
+    zero = F.lit(0).cast("long")
+    sums = [F.coalesce(F.sum((whole[k] - whole[k + 1] * F.lit(2.0**DIGIT_BITS)).cast("long")), zero) for k in range(DIGITS)]
+    digits, carry = [], zero
+    for s in sums[:-1]:
+        total = s + carry
+        digits.append(total.bitwiseAND(F.lit(2**DIGIT_BITS - 1).cast("long")))
+        carry = F.shiftright(total, DIGIT_BITS)
+    digits.append(sums[-1] + carry)
+    out = F.lit(0.0)
+    for k in reversed(range(DIGITS)):
+        out = out + digits[k].cast("double") * F.lit(2.0 ** (LOWEST + DIGIT_BITS * k))
+    for other in (inside - whole[0] * F.lit(2.0**LOWEST), F.when(~fits, x)):
+        out = out + F.coalesce(F.sum(other), F.lit(0.0))
+    return F.when(F.count(x) > 0, as_decimals + out)
+
+
+def _double_sum(value: Column, scale: int | None) -> Column:
+    return exact_double_sum(value) if scale is None else F.sum(value.cast(f"decimal(18,{scale})")).cast("double")
+
+
+def summing_double(value, scale: int | None = None) -> Collector:
+    """The exact sum; with a scale, of the values rounded to so many places."""
+    return Collector(lambda c: _double_sum(c.only(_col(value)), scale), F.lit(0.0))
 
 
 def averaging_int(value) -> Collector:
@@ -108,8 +162,8 @@ def averaging_int(value) -> Collector:
 averaging_long = averaging_int
 
 
-def averaging_double(value, scale: int = 2) -> Collector:
-    return Collector(lambda c: exact_double_sum(c.only(_col(value)), scale) / F.nullif(F.count(c.only(_col(value))), F.lit(0)), F.lit(0.0))
+def averaging_double(value, scale: int | None = None) -> Collector:
+    return Collector(lambda c: _double_sum(c.only(_col(value)), scale) / F.nullif(F.count(c.only(_col(value))), F.lit(0)), F.lit(0.0))
 
 
 def min_by(key, value) -> Collector:
@@ -119,15 +173,7 @@ def min_by(key, value) -> Collector:
 
 def max_by(key, value) -> Collector:
     """The value of the largest key; of equals the first met. No rows: null."""
-
-    def aggregate(c: Context) -> Column:
-        if c.back is not None:
-            return F.max_by(_col(value), c.only(F.struct(_col(key).alias("k"), c.back.alias("o"))))
-        rows = F.collect_list(c.only(F.struct(c.place.alias("o"), _col(key).alias("k"), _col(value).alias("v"))))
-        best = F.array_sort(rows, lambda x, y: F.when(x["k"] > y["k"], -1).when(x["k"] < y["k"], 1).when(x["o"] < y["o"], -1).when(x["o"] > y["o"], 1).otherwise(0))
-        return F.get(best, F.lit(0))["v"]
-
-    return Collector(aggregate)
+    return Collector(lambda c: F.max_by(_col(value), c.only(F.struct(_col(key).alias("k"), c.back.alias("o")))), numbers=True)
 
 
 def reducing(value, merge: Callable[[Column], Column], identity=None, with_identity: Callable[[Column, Column], Column] | None = None) -> Collector:
@@ -156,32 +202,58 @@ def mapping(value, downstream: Callable[[Column], Collector]) -> Collector:
 
 
 def filtering(condition, downstream: Collector) -> Collector:
-    """Limits the rows of each group; groups without any stay."""
+    """Limits the rows of each group; groups without any stay (but keys of to_map(), which then have no value)."""
 
-    def aggregate(c: Context) -> Column:
+    def within(c: Context) -> Context:
         here = F.coalesce(_col(condition), F.lit(False))
-        return downstream.aggregate(replace(c, where=here if c.where is None else c.where & here))
+        return replace(c, where=here if c.where is None else c.where & here)
+
+    present = downstream.present
+    if downstream.drops_empty:
+        present = lambda c: F.count_if(c.counted()) > 0 if downstream.present is None else downstream.present(c)
+    return replace(downstream, aggregate=lambda c: downstream.aggregate(within(c)), present=present and (lambda c: present(within(c))))
+
 
-    return replace(downstream, aggregate=aggregate)
+_branches = count(1)
 
 
 def flat_mapping(array, downstream: Callable[[Column], Collector]) -> Collector:
-    """Expands an array of each row before the downstream; groups whose arrays are all empty stay."""
-    inner = downstream(F.col("_item"))
+    """Expands an array of each row for the downstream alone; groups whose arrays are all empty stay.
+
+    The items become rows of a branch of their own beside the rows that they come from, so collectors
+    side by side, within each other or around this one each see their own rows.
+    """
+    branch = next(_branches)
+    inner = downstream(F.col(f"_item{branch}"))
+    expands = ((branch, 0, _col(array)), *((b, branch if parent == 0 else parent, a) for b, parent, a in inner.expands))
 
     def aggregate(c: Context) -> Column:
-        here = F.col("_item").isNotNull()
-        return inner.aggregate(replace(c, where=here if c.where is None else c.where & here))
+        at = F.col(f"_at{branch}")
+        place = F.struct(c.place.alias("row"), at.alias("item"))
+        back = None if c.back is None else F.struct(c.back.alias("row"), (-at).alias("item"))
+        return inner.aggregate(replace(c, place=place, back=back, branch=branch))
+
+    return replace(inner, aggregate=aggregate, expands=expands)
+
 
-    return replace(inner, aggregate=aggregate, explode=_col(array))
+def expanded(df: DataFrame, expands) -> DataFrame:
+    """The rows (branch 0) and, beside them, the items of each flat_mapping, with their places in their arrays."""
+    df = df.withColumn("_branch", F.lit(0))
+    for branch, parent, array in expands:
+        one = lambda b, at, item: F.struct(b.alias("b"), at.alias("at"), item.alias("item"))
+        items = F.transform(array, lambda x, i: one(F.lit(branch), i.cast("int"), x))  # noqa: B023  used at once
+        own = F.array(one(F.col("_branch"), F.lit(None).cast("int"), F.get(array, F.lit(-1))))  # a null of the items' type
+        both = F.when((F.col("_branch") == parent) & array.isNotNull(), F.concat(own, items)).otherwise(own)
+        df = df.withColumn("_row", F.explode(both)).withColumns({"_branch": F.col("_row.b"), f"_at{branch}": F.col("_row.at"), f"_item{branch}": F.col("_row.item")}).drop("_row")
+    return df
 
 
 def collecting_and_then(downstream: Collector, finish: Callable[[Column], Column]) -> Collector:
-    return Collector(lambda c: finish(downstream.of(c)), characteristics=downstream.characteristics - {IDENTITY_FINISH}, explode=downstream.explode)
+    return replace(downstream, aggregate=lambda c: finish(downstream.of(c)), empty=None, characteristics=downstream.characteristics - {IDENTITY_FINISH})
 
 
 def teeing(one: Collector, two: Collector, merge: Callable[[Column, Column], Column]) -> Collector:
-    return Collector(lambda c: merge(one.of(c), two.of(c)))
+    return Collector(lambda c: merge(one.of(c), two.of(c)), expands=one.expands + two.expands, numbers=one.numbers or two.numbers)
 
 
 def summarizing(value, kind: str) -> Collector:
@@ -202,8 +274,8 @@ def summarizing(value, kind: str) -> Collector:
 def to_map(value, merge: Callable[[Column], Column] | None = None) -> Collector:
     """One value for each key. Without a merge function a second value for a key is an error; with one (an aggregate), values are merged in encounter order."""
     if merge is not None:
-        return Collector(lambda c: merge(_in_order(c, _col(value))))
-    return Collector(lambda c: F.when(F.count("*") > 1, F.raise_error(F.lit("Duplicate key"))).otherwise(F.first(_col(value))))
+        return Collector(lambda c: merge(_in_order(c, _col(value))), drops_empty=True)
+    return Collector(lambda c: F.when(F.count_if(c.counted()) > 1, F.raise_error(F.lit("Duplicate key"))).otherwise(F.first(c.only(_col(value)), ignorenulls=True)), drops_empty=True)
 
 
 def custom(value, supplier: Column, accumulate: Callable[[Column, Column], Column], finish: Callable[[Column], Column] | None = None, characteristics=()) -> Collector:

@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ...errors import IllegalArgumentException, NoSuchElementException
-from ...plans.order import ONE_TASK_BYTES, checkpointed, estimated_bytes
+from ...plans.order import checkpointed, needs_ranges, range_count
 from .maps import FrameMap
 
 #: kind -> (backwards, base rows come first among equal keys)
@@ -31,10 +31,10 @@ def nearest(probes: DataFrame, probe_key: str, base: DataFrame, base_key: str, k
     last = lambda w: F.last("_base", ignorenulls=True).over(w.orderBy(*sort).rowsBetween(Window.unboundedPreceding, 0))
     if by:
         out = both.withColumn(name, last(Window.partitionBy(*by)))
-    elif not (estimated_bytes(both) > ONE_TASK_BYTES if by_ranges is None else by_ranges):
+    elif not (needs_ranges(both) if by_ranges is None else by_ranges):
         out = both.withColumn(name, last(Window.partitionBy()))
     else:
-        parts = int(probes.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+        parts = range_count(both)
         dealt = checkpointed(both.repartitionByRange(parts, F.desc("_k") if backwards else F.asc("_k")).withColumn("_range", F.spark_partition_id()))
         ends = dealt.groupBy("_range").agg((F.min if backwards else F.max)("_base").alias("_end"))
         carried = ends.select("_range", F.last("_end", ignorenulls=True).over(Window.orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)).alias("_carried"))

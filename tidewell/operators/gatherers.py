@@ -4,11 +4,13 @@ from __future__ import annotations
 
 from collections.abc import Callable, Iterator
 from concurrent.futures import ThreadPoolExecutor
-from dataclasses import dataclass
+from dataclasses import dataclass, replace
 
 import pyarrow as pa
 from pyspark.sql import Column, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
+from pyspark.sql.pandas.types import to_arrow_schema
 
 from ..errors import IllegalArgumentException, UnsupportedOperationException
 from ..plans.order import Key, numbered, sort_columns
@@ -117,8 +119,10 @@ def scan(initial, step: Callable[[Column, Column], Column], value="value", name:
 class Gatherer:
     """A gatherer in Python: initializer() -> state; integrator(state, row) -> generator of output rows, whose return value False stops; finisher(state) -> output rows.
 
-    Rows are tuples of the sequence's columns. An ordered gatherer sees the whole sequence, streamed in
-    order through one task in constant memory; others run on every partition side by side.
+    Rows are tuples of the sequence's columns; outputs are values of the schema. An ordered gatherer sees
+    the whole sequence, streamed in order through one task in constant memory (what makes the rows runs in
+    tasks before that); others run on every partition side by side, and their outputs stand where the row
+    stood that was read last, those of a finisher behind all.
     """
 
     integrator: Callable
@@ -153,37 +157,43 @@ class Gatherer:
 
     def apply(self, seq: Seq) -> Seq:
         df, order, names = seq._take(), seq._order, seq.columns
-        spark_schema = df.sparkSession.createDataFrame([], self.schema).schema
-        fields = [f.name for f in spark_schema]
+        hidden = [] if self.ordered else [k.name for k in order]
+        place = f"_o{len(hidden)}"
+        declared = T.StructType([*df.sparkSession.createDataFrame([], self.schema).schema, *(T.StructField(n, df.schema[n].dataType) for n in hidden), T.StructField(place, T.LongType())])
+        arrow = to_arrow_schema(declared)
         run = self.run
 
         def stream(batches):
+            last = [None] * len(hidden)
+
             def rows():
+                nonlocal last
                 for batch in batches:
-                    yield from zip(*(batch.column(n).to_pylist() for n in names))
+                    keys = zip(*(batch.column(h).to_pylist() for h in hidden)) if hidden else ((),) * batch.num_rows
+                    for row, last in zip(zip(*(batch.column(n).to_pylist() for n in names)), keys):  # noqa: B020
+                        yield row
+                if finisher:
+                    last = [None] * len(hidden)
 
             held = []
-            place = 0
-            for out in run(rows()):
-                held.append((*out, place))
-                place += 1
+            for n, out in enumerate(run(rows())):
+                held.append((*out, *last, n))
                 if len(held) == 10_000:
-                    yield _batch(held, fields)
+                    yield _batch(held, arrow)
                     held = []
             if held:
-                yield _batch(held, fields)
-
-        dealt = df.coalesce(1) if self.ordered else df
-        rows = (dealt.sortWithinPartitions(*sort_columns(order)) if self.ordered else dealt).drop(*[k.name for k in order])
-        if not self.ordered:
-            out = rows.mapInArrow(stream, f"{self.schema}, _o0 long").drop("_o0").withColumn("_o0", F.monotonically_increasing_id())
-        else:
-            out = rows.mapInArrow(stream, f"{self.schema}, _o0 long")
-        return seq._next(out, [Key("_o0")])
+                yield _batch(held, arrow)
 
+        finisher = self.finisher is not None
+        if self.ordered:
+            out = df.repartition(1).sortWithinPartitions(*sort_columns(order)).select(*names).mapInArrow(stream, declared)
+            return seq._next(out, [Key(place)])
+        last_of_all = [replace(k, nulls_first=False) if finisher else k for k in order]
+        return seq._next(df.mapInArrow(stream, declared), [*(replace(k, name=h) for k, h in zip(last_of_all, hidden)), Key(place)])
 
-def _batch(rows: list[tuple], fields: list[str]) -> pa.RecordBatch:
-    return pa.RecordBatch.from_pydict(dict(zip([*fields, "_o0"], map(list, zip(*rows)))))
+
+def _batch(rows: list[tuple], schema: pa.Schema) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array(list(v), f.type) for v, f in zip(zip(*rows), schema)], schema=schema)
 
 
 def of(integrator: Callable, schema: str) -> Gatherer:
@@ -202,16 +212,22 @@ def map_concurrent(most: int, function: Callable, columns: list[str], schema: st
     def apply(seq: Seq) -> Seq:
         df = seq._take().select(*columns, *[k.name for k in seq._order])
         hidden = [k.name for k in seq._order]
-        kinds = ", ".join(f"{n} {t}" for n, t in df.dtypes if n in hidden)
-        fields = [f.name for f in df.sparkSession.createDataFrame([], schema).schema]
+        own = df.sparkSession.createDataFrame([], schema).schema
+        declared = T.StructType([*own, *(df.schema[h] for h in hidden)])
+        arrow = to_arrow_schema(declared)
 
         def run(batches):
             with ThreadPoolExecutor(most) as pool:
                 for batch in batches:
-                    rows = list(pool.map(function, zip(*(batch.column(c).to_pylist() for c in columns))))
-                    if rows:
-                        yield pa.RecordBatch.from_arrays([*(pa.array(list(v)) for v in zip(*rows)), *(batch.column(h) for h in hidden)], names=[*fields, *hidden])
-
-        return seq._next(df.mapInArrow(run, f"{schema}, {kinds}"))
+                    rows = list(zip(*(batch.column(c).to_pylist() for c in columns)))
+                    if not rows:
+                        continue
+                    size = max(1, min(64, len(rows) // (4 * most)))  # rows that a thread takes at a time
+                    slices = [rows[i : i + size] for i in range(0, len(rows), size)]
+                    outs = [out for part in pool.map(lambda rows: [function(r) for r in rows], slices) for out in part]
+                    made = [pa.array(list(v), f.type) for v, f in zip(zip(*outs), arrow)]
+                    yield pa.RecordBatch.from_arrays([*made, *(batch.column(h).cast(arrow.field(h).type) for h in hidden)], schema=arrow)
+
+        return seq._next(df.mapInArrow(run, declared))
 
     return Built(apply)

@@ -7,13 +7,14 @@ Conditions and values are Columns or SQL text, so Catalyst sees them all.
 from __future__ import annotations
 
 from collections.abc import Callable, Iterator
+from dataclasses import replace
 from functools import reduce as fold_left
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..errors import CONSUMED, IllegalArgumentException, IllegalStateException, NoSuchElementException
-from ..functions.collectors import Collector, Context, exact_double_sum
+from ..functions.collectors import Collector, Context, exact_double_sum, expanded
 from ..functions.comparators import Comparator, natural_order
 from ..plans.order import Key, numbered, sort_columns
 
@@ -27,6 +28,9 @@ def true(c: Column | str) -> Column:
     return F.coalesce(col(c), F.lit(False))
 
 
+#: Up to so many rows are found by a top-k rather than by numbering.
+TOP_K = 10_000
+
 NUMBERS = ("tinyint", "smallint", "int", "bigint", "float", "double")
 
 
@@ -168,16 +172,35 @@ class Seq:
         return self._next(self._take().orderBy(*sort_columns(self._order)).limit(n), bound=n if self._bound is None else min(n, self._bound), size=size)
 
     def skip(self, n: int) -> Seq:
+        """Without the first n rows. Few: all rows behind the last of them, which a top-k finds; else by places, numbered by ranges where rows are many."""
         self._checked(n)
         less = lambda x: None if x is None else max(0, x - n)
-        return self._next(self._take().orderBy(*sort_columns(self._order)).offset(n), bound=less(self._bound), size=less(self._size))
+        df = self._take()
+        if n == 0:
+            return self._next(df, bound=self._bound, size=self._size)
+        if n <= TOP_K and self._uniform():
+            first = df.select(*[k.name for k in self._order]).orderBy(*sort_columns(self._order)).limit(n)
+            last = first.agg((F.min if self._descending() else F.max)(self._mark()).alias("e"), F.count("*").alias("n"))
+            edge = last.select(F.when(F.col("n") == n, F.col("e"))).scalar()
+            kept = self._mark() < edge if self._descending() else self._mark() > edge
+            return self._next(df.where(kept), bound=less(self._bound), size=less(self._size))
+        return self._next(numbered(df, self._order, "_place").where(F.col("_place") >= n).drop("_place"), bound=less(self._bound), size=less(self._size))
+
+    def _mark(self) -> Column:
+        """place() as a struct, which also tells where nulls stand: they compare as smallest, or by a flag where the order has them at the other end."""
+        parts = []
+        for k in self._order:
+            if k.nulls_first is not None and k.nulls_first == k.desc:
+                parts.append(F.col(k.name).isNull().alias(f"{k.name}_null"))
+            parts.append(F.col(k.name))
+        return F.struct(*parts)
 
     def _cut(self, condition, before: bool) -> Seq:
         df = self._take()
         bad = df.where(~true(condition))
         if self._uniform():
-            edge = bad.agg((F.max if self._descending() else F.min)(self.place()).alias("e")).scalar()
-            ahead = self.place() > edge if self._descending() else self.place() < edge
+            edge = bad.agg((F.max if self._descending() else F.min)(self._mark()).alias("e")).scalar()
+            ahead = self._mark() > edge if self._descending() else self._mark() < edge
             kept = F.coalesce(ahead, edge.isNull())
             return self._next(df.where(kept if before else ~kept), bound=self._bound)
         placed = numbered(df, self._order, "_place")
@@ -239,6 +262,16 @@ class Seq:
             return Context(pack([turn(k, False) for k in self._order]), pack([turn(k, True) for k in self._order]))
         return Context(self.place())
 
+    def _collected(self, collectors: dict) -> tuple[DataFrame, Context]:
+        """The rows as the collectors need them, numbered or expanded, and what they may use."""
+        context, df = self._context(), self._take()
+        if context.back is None and any(c.numbers for c in collectors.values()):
+            df = numbered(df, self._order, "_place")
+            context = Context(F.col("_place"), -F.col("_place"))
+        if expands := [e for c in collectors.values() for e in c.expands]:
+            df, context = expanded(df, expands), replace(context, branch=0)
+        return df, context
+
     def aggregate(self, **columns: Column | Callable[[Context], Column]) -> DataFrame:
         """One row of aggregates; a callable gets the context (places of rows)."""
         context = self._context()
@@ -246,32 +279,28 @@ class Seq:
 
     def collect(self, **collectors: Collector) -> DataFrame:
         """One row: what each collector makes of all rows."""
-        context = self._context()
-        df = self._take()
-        if exploded := next((c.explode for c in collectors.values() if c.explode is not None), None):
-            df = df.withColumn("_item", F.explode_outer(exploded))
+        df, context = self._collected(collectors)
         return df.agg(*[c.of(context).alias(n) for n, c in collectors.items()])
 
     def grouping_by(self, key: dict | str, sort: bool = False, **collectors: Collector) -> DataFrame:
         """A row for each key with what each collector makes of its rows; sort: ordered by key."""
-        context = self._context()
-        df = self._take()
+        df, context = self._collected(collectors)
         keys = {n: col(e) for n, e in key.items()} if isinstance(key, dict) else {key: F.col(key)}
-        exploded = [c.explode for c in collectors.values() if c.explode is not None]
         df = df.withColumns({f"_k_{n}": e for n, e in keys.items()})
-        if exploded:
-            df = df.withColumn("_item", F.explode_outer(exploded[0]))
-        out = df.groupBy(*[F.col(f"_k_{n}").alias(n) for n in keys]).agg(*[c.of(context).alias(n) for n, c in collectors.items()])
+        there = {f"_there{i}": c.present(context) for i, c in enumerate(collectors.values()) if c.present is not None}
+        out = df.groupBy(*[F.col(f"_k_{n}").alias(n) for n in keys]).agg(*[c.of(context).alias(n) for n, c in collectors.items()], *[c.alias(n) for n, c in there.items()])
+        if there:
+            out = out.where(" OR ".join(there)).drop(*there) if len(there) == len(collectors) else out.drop(*there)
         return out.orderBy(*keys) if sort else out
 
     def partitioning_by(self, condition, name: str = "key", **collectors: Collector) -> DataFrame:
-        """Two rows always, false first: what each collector makes of the rows that fail and that meet the condition."""
-        context = self._context()
-        df = self._take()
-        spine = df.sparkSession.createDataFrame([(False,), (True,)], f"{name} boolean")
-        found = df.withColumn("_k", true(condition)).groupBy("_k").agg(*[c.aggregate(context).alias(n) for n, c in collectors.items()])
-        joined = spine.join(found, spine[name] == found["_k"], "left")
-        return joined.select(name, *[(F.col(n) if c.empty is None else F.coalesce(n, c.empty)).alias(n) for n, c in collectors.items()]).orderBy(name)
+        """Two rows always, false first: what each collector makes of the rows that fail and that meet the condition. Two rows that no collector
+        sees stand for the sides, so a side without rows gets what the collector gives for none."""
+        df, context = self._collected(collectors)
+        sides = df.sparkSession.range(2).select((F.col("id") == 1).alias("_k"), F.lit(False).alias("_real"))
+        rows = df.withColumns({"_k": true(condition), "_real": F.lit(True)}).unionByName(sides, allowMissingColumns=True)
+        context = replace(context, where=F.col("_real"))
+        return rows.groupBy(F.col("_k").alias(name)).agg(*[c.of(context).alias(n) for n, c in collectors.items()]).orderBy(name)
 
     def count(self) -> int:
         return self.frame().count()

@@ -2,14 +2,22 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 from dataclasses import dataclass, replace
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-#: Plans whose estimated size is below this are numbered in one task; larger ones by ranges.
-ONE_TASK_BYTES = 64 << 20
+from ..errors import IllegalStateException
+
+#: Plans whose estimated size is below this are numbered in one task; larger ones by ranges. Of plans that may
+#: make more of their input than Catalyst's estimate tells, the input has to be below the second.
+ONE_TASK_BYTES, ONE_TASK_UNKNOWN = 64 << 20, 1 << 20
+GROWS = re.compile(r"\b(Generate|Expand|MapInArrow|MapInPandas|FlatMapGroups\w*|FlatMapCoGroups\w*|ArrowEvalPython|Join|UnionLoop)\b")
+
+#: What a range of rows should hold.
+RANGE_BYTES = 128 << 20
 
 
 @dataclass(frozen=True)
@@ -41,11 +49,29 @@ def estimated_bytes(df: DataFrame) -> int:
     return int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
 
 
+def needs_ranges(df: DataFrame) -> bool:
+    """Whether the rows may be too many for one task."""
+    size = estimated_bytes(df)
+    return size > ONE_TASK_BYTES or (size > ONE_TASK_UNKNOWN and bool(GROWS.search(df._jdf.queryExecution().optimizedPlan().toString())))
+
+
+def range_count(df: DataFrame) -> int:
+    """Ranges to deal rows out to: the session's shuffle partitions, and more where the plan's estimate asks for it (10,000 at most)."""
+    return max(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), min(10_000, estimated_bytes(df) // RANGE_BYTES))
+
+
+def local(spark: SparkSession) -> bool:
+    return spark.sparkContext.master.split("[")[0] == "local"
+
+
 def checkpointed(df: DataFrame) -> DataFrame:
-    """A reliable checkpoint in spark.checkpoint.dir; in a temporary folder where that is unset (one machine)."""
+    """A reliable checkpoint in spark.checkpoint.dir; in a temporary folder where that is unset and all tasks run in this process."""
     context = df.sparkSession.sparkContext
     if context.getCheckpointDir() is None:
-        context.setCheckpointDir(df.sparkSession.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="tidewell-checkpoint-"))
+        shared = df.sparkSession.conf.get("spark.checkpoint.dir", None)
+        if not shared and not local(df.sparkSession):
+            raise IllegalStateException("set spark.checkpoint.dir to a folder that all executors share")
+        context.setCheckpointDir(shared or tempfile.mkdtemp(prefix="tidewell-checkpoint-"))
     return df.checkpoint()
 
 
@@ -56,11 +82,9 @@ def numbered(df: DataFrame, order: list[Key], name: str, by_ranges: bool | None
     within their ranges, and each range starts where the ones before it end; the ranges' sizes are the
     only thing that meets in one task. The dealt rows are checkpointed, so both passes see the same.
     """
-    if by_ranges is None:
-        by_ranges = estimated_bytes(df) > ONE_TASK_BYTES
-    if not by_ranges:
+    if not (needs_ranges(df) if by_ranges is None else by_ranges):
         return df.withColumn(name, (F.row_number().over(Window.orderBy(*sort_columns(order))) - 1).cast("long"))
-    parts = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    parts = range_count(df)
     dealt = checkpointed(df.repartitionByRange(parts, *sort_columns(order)).sortWithinPartitions(*sort_columns(order)).withColumn("_at", F.monotonically_increasing_id()))
     dealt = dealt.withColumn("_range", F.shiftright("_at", 33)).withColumn("_in_range", F.col("_at").bitwiseAND((1 << 33) - 1))
     sizes = dealt.groupBy("_range").agg(F.count("*").alias("_n"))
