@@ -346,7 +346,7 @@ def repeated_spans(docs: DataFrame, copies: DataFrame, then, schema: str, length
     total = wanted.agg(F.sum(F.size("anchors"))).first()[0] or 0
     candidates = stored(few_ids_join(docs, wanted.select("doc_id"), ["doc_id"], "left_semi").join(wanted, "doc_id").withColumn("sub", F.hash("print")), "candidates")
     rows = candidates.select("doc_id", "sub", "text", "anchors").sortWithinPartitions("doc_id", "sub").mapInArrow(_cut(length, k, batch_windows, family), RUNS_SQL)
-    buckets = max(1, math.ceil(total * (length - k) / 2 / (family * batch_windows)))
+    buckets = max(1, math.ceil(total * (length - k) / 2 / (family // 2 * batch_windows)))
     bucket = F.when(F.col("bytes").isNotNull(), F.pmod("anchor", F.lit(buckets))).otherwise(F.pmod(F.xxhash64("doc_id", "start"), F.lit(buckets)))
     parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), candidates.rdd.getNumPartitions())
     group = fan_in
