@@ -127,3 +127,44 @@ def test_nearest_of_whole_tables(spark, name):
     place = lambda p: at(keys, p) - back
     got = sorted(map(tuple, QUERIES[name](spark, d).select("o_orderkey", "found").collect()))
     assert len(orders) > 5000 and got == [(o, keys[place(3 * o)] if 0 <= place(3 * o) < len(keys) else None) for o in sorted(orders)]
+
+
+def test_hash_codes(spark):
+    from tidewell.functions.hashes import plain_hash
+    from tidewell.operators.containers.lists import FrameList
+    from tidewell.operators.containers.maps import Entry, FrameMap
+    from tidewell.operators.containers.sets import FrameSet
+
+    def fold(values):
+        h = 1
+        for v in values:
+            h = (31 * h + plain_hash(v)) & 0xFFFFFFFF
+        return h - (1 << 32) if h >= 1 << 31 else h
+
+    for values in ([], [5], [1, 2, 3, 2**31 - 1, -7] * 9):
+        assert FrameList.of(spark, *values).hash_code() == fold(values)
+    assert FrameList.of(spark, "a", "bb", schema="string").hash_code() == fold(["a", "bb"])
+    assert FrameSet.of(spark, 3, 1, 3).hash_code() == 4
+    maps = FrameMap.of(spark, {"a": 1, "b": 2})
+    entries = list(maps.entries())
+    assert [(e.get_key(), e.get_value()) for e in entries] == [("a", 1), ("b", 2)]
+    total = sum(e.hash_code() for e in entries) & 0xFFFFFFFF
+    assert maps.hash_code() == (total - (1 << 32) if total >= 1 << 31 else total)
+    assert entries[0].set_value(9) == 1 and entries[0].get_value() == 9 and maps.get("a") == 1
+    assert entries[1].equals(Entry("b", 2)) and not entries[0].equals(Entry("a", 1))
+
+
+def test_deque_from_its_other_end(spark):
+    from tidewell.operators.containers.deques import FrameDeque
+
+    deque = FrameDeque.of(spark, 1, 2, 3, 2)
+    view = deque.reversed()
+    assert view.to_list() == [2, 3, 2, 1] and view.peek_first() == 2 and view.peek_last() == 1
+    view.add_first(9)
+    view.add(8)
+    assert deque.to_list() == [8, 1, 2, 3, 2, 9]
+    assert view.poll_first() == 9 and view.poll_last() == 8
+    assert view.remove(2) and deque.to_list() == [1, 2, 3]
+    deque.add(4)
+    assert view.to_list() == [4, 3, 2, 1] and view.reversed() is deque
+    assert view.offer_last(0) and view.remove_at(0) == 4 and deque.to_list() == [0, 1, 2, 3]

@@ -195,3 +195,42 @@ def test_optional():
         Optional.empty().get()
     with pytest.raises(errors.NullPointerException):
         Optional.of(None)
+
+
+def test_sums_of_any_doubles(spark):
+    import math
+    import random
+
+    def total(values):
+        return spark.createDataFrame([(float(v),) for v in values], "v double").repartition(3).agg(C.exact_double_sum(F.col("v"))).first()[0]
+
+    assert total([0.001] * 1000) == 1.0 and total([0.1] * 10000) == 1000.0
+    assert total([1e20, 1, -1e20]) == 1.0 and total([]) is None
+    assert math.isnan(total([math.nan, 1])) and total([math.inf, 1]) == math.inf and total([1e300, 1e300]) == 2e300
+    rng = random.Random(1)
+    for scale in (1e-8, 1, 1e15, 1e25):
+        values = [(rng.random() - 0.5) * scale for _ in range(500)]
+        assert math.isclose(total(values), math.fsum(values), rel_tol=1e-15)
+
+
+def test_collectors_side_by_side(spark):
+    df = spark.createDataFrame([(1, 1, [1, 2, 3], ["a"]), (2, 1, [], ["b", None]), (3, 2, None, None)], "id int, k int, a array<int>, b array<string>")
+    seq = lambda: sources.of_frame(df, "id")
+    both = C.teeing(C.counting(), C.flat_mapping("a", C.to_list), lambda n, x: F.struct(n, x))
+    got = seq().grouping_by("k", n=C.counting(), items=C.flat_mapping("a", lambda x: C.counting()), strings=C.flat_mapping("b", lambda x: C.counting()), both=both).orderBy("k").collect()
+    assert [(r.n, r.items, r.strings, tuple(r.both)) for r in got] == [(2, 3, 3, (2, [1, 2, 3])), (1, 0, 0, (1, []))]
+    sides = seq().partitioning_by("id > 9", ids=C.to_list("id"), users=C.to_set("id"), s=C.summarizing("id", "int"), items=C.flat_mapping("a", C.to_list)).collect()
+    assert [(r.ids, r.users, r["items"]) for r in sides] == [([1, 2, 3], [1, 2, 3], [1, 2, 3]), ([], [], [])]
+    assert tuple(sides[1].s) == (0, 0, 2**31 - 1, -(2**31), 0.0)
+    nested = seq().collect(x=C.flat_mapping("b", lambda b: C.filtering(b.isNotNull(), C.to_list(b))), y=C.flat_mapping("a", lambda a: C.flat_mapping(F.sequence(F.lit(1), a), C.to_list))).first()
+    assert nested.x == ["a", "b"] and nested.y == [1, 1, 2, 1, 2, 3]
+    assert [(r.k, r.x) for r in seq().grouping_by("k", x=C.filtering("id = 2", C.to_map("id"))).collect()] == [(1, 2)]
+
+
+def test_cuts_with_a_null_key(spark):
+    df = spark.createDataFrame([(None, 1), (1, 2), (2, 9), (3, 1)], "k int, value int")
+    assert [r.value for r in sources.of_frame(df, "k").take_while("value < 5").frame().collect()] == [1, 2]
+    assert sorted(r.value for r in sources.of_frame(df, "k").drop_while("value < 5").frame().collect()) == [1, 9]
+    assert sources.of_frame(df, "k").skip(1).map(value="value").to_list() == (2, 9, 1)
+    assert sources.of_frame(df, "k").reversed().skip(1).map(value="value").to_list() == (9, 2, 1)
+    assert sources.of_frame(df, "k").skip(9).map(value="value").to_list() == ()

@@ -78,6 +78,29 @@ class Optional:
         return "Optional.empty" if self.value is None else f"Optional[{self.value}]"
 
 
+def of_nullable(c: Column, there: Column) -> Column:
+    """The column's value where `there` holds, else absent."""
+    return F.when(there, c)
+
+
+def is_present(c: Column) -> Column:
+    return c.isNotNull()
+
+
+def is_empty(c: Column) -> Column:
+    return c.isNull()
+
+
+def mapped(c: Column, f: Callable[[Column], Column]) -> Column:
+    """f of the value where there is one."""
+    return F.when(c.isNotNull(), f(c))
+
+
+def flat_mapped(c: Column, f: Callable[[Column], Column]) -> Column:
+    """f of the value, itself absent or not, where there is one."""
+    return mapped(c, f)
+
+
 def or_else(c: Column, other) -> Column:
     return F.coalesce(c, other if isinstance(other, Column) else F.lit(other))
 

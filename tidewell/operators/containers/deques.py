@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from ...errors import NoSuchElementException
 from . import lists
-from .lists import FrameList
+from .lists import FrameList, ListView, reversed_list
 
 
 def poll(df: DataFrame, n: int, last: bool = False) -> DataFrame:
@@ -69,3 +69,60 @@ class FrameDeque(FrameList):
     def descending_iterator(self):
         for row in self.df.orderBy(F.desc("pos")).select("value").toLocalIterator():
             yield row[0]
+
+    def reversed(self) -> DequeView:
+        return DequeView(self)
+
+
+class DequeView(ListView, FrameDeque):
+    """A deque from its other end, as it is now; what is done to one end of the view is done to the other end of the deque."""
+
+    def __init__(self, backing: FrameDeque):
+        super().__init__(backing, reversed_list, lambda i: self.size() - 1 - i)
+
+    def add(self, value, place: int | None = None) -> None:
+        size = self.size()
+        place = size if place is None else place
+        self._check(place, size + 1)
+        self._backing.add(value, size - place)
+
+    add_last = add
+
+    def add_first(self, value) -> None:
+        self.add(value, 0)
+
+    push = add_first
+
+    def offer_last(self, value) -> bool:
+        self.add(value)
+        return True
+
+    offer = offer_last
+
+    def remove_at(self, place: int):
+        size = self.size()
+        self._check(place, size)
+        return self._backing.remove_at(size - 1 - place)
+
+    def remove_first(self):
+        return self._backing.remove_last()
+
+    def remove_last(self):
+        return self._backing.remove_first()
+
+    def remove(self, value) -> bool:
+        return self._backing.remove_last_occurrence(value)
+
+    remove_first_occurrence = remove
+
+    def remove_last_occurrence(self, value) -> bool:
+        return self._backing.remove_first_occurrence(value)
+
+    def remove_if(self, condition) -> None:
+        self._backing.remove_if(condition)
+
+    def clear(self) -> None:
+        self._backing.clear()
+
+    def reversed(self) -> FrameDeque:
+        return self._backing

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ...errors import IndexOutOfBoundsException, NoSuchElementException, UnsupportedOperationException
 from ...functions.comparators import Comparator, natural_order
+from ...functions.hashes import list_hash
 from ...plans.order import Key, numbered
 from ..seq import Seq, col, true
 from .handle import Handle
@@ -190,6 +191,9 @@ class FrameList(Handle):
     def equals(self, other: FrameList) -> bool:
         return equal(self.df, other.df).first()[0]
 
+    def hash_code(self) -> int:
+        return list_hash(self.df).first()[0]
+
     def sub_list(self, start: int, end: int) -> ListView:
         if not 0 <= start <= end <= self.size():
             raise IndexOutOfBoundsException(f"[{start}, {end})")

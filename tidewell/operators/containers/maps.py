@@ -2,12 +2,15 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
+from dataclasses import dataclass
+from typing import Any
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ...errors import NullPointerException, UnsupportedOperationException
+from ...functions.hashes import map_hash, plain_hash
 from ..seq import col, true
 from .handle import Handle
 
@@ -83,6 +86,33 @@ def equal(a: DataFrame, b: DataFrame) -> DataFrame:
     return both.agg((F.count_if(~F.col("had") | ~F.col("has") | ~F.col("old").eqNullSafe(F.col("new"))) == 0).alias("result"))
 
 
+@dataclass
+class Entry:
+    """A mapping taken out of a map; set_value() changes this copy only."""
+
+    key: Any
+    value: Any
+
+    def get_key(self):
+        return self.key
+
+    def get_value(self):
+        return self.value
+
+    def set_value(self, value):
+        old, self.value = self.value, value
+        return old
+
+    def equals(self, other: Entry) -> bool:
+        return self == other
+
+    def hash_code(self) -> int:
+        h = plain_hash(self.key) ^ plain_hash(self.value)
+        return h - (1 << 32) if h >= 1 << 31 else h
+
+    __hash__ = hash_code
+
+
 class FrameMap(Handle):
     """Single-key mutators are for small changes; bulk ones take another map."""
 
@@ -165,6 +195,14 @@ class FrameMap(Handle):
     def equals(self, other: FrameMap) -> bool:
         return equal(self.df, other.df).first()[0]
 
+    def hash_code(self) -> int:
+        return map_hash(self.df).first()[0]
+
+    def entries(self) -> Iterator[Entry]:
+        """The mappings in the order of their keys, as copies."""
+        for row in self.iterator():
+            yield Entry(row["key"], row["value"])
+
     def key_set(self) -> MapView:
         return MapView(self, "key")
 

@@ -175,6 +175,11 @@ class NavigableMap(FrameMap):
         condition = (c >= k if inclusive else c > k) if up else (c <= k if inclusive else c < k)
         return self.df.where(condition).orderBy(F.asc("key") if up else F.desc("key")).first()
 
+    def nearest(self, probes: DataFrame, probe_key: str, kind: str, name: str = "found", by_ranges: bool | None = None) -> DataFrame:
+        """The nearest key of this view for every row of `probes` at once, in the view's direction and within its window."""
+        seen = {"floor": "ceiling", "ceiling": "floor", "lower": "higher", "higher": "lower"}[kind] if self._fence.descending else kind
+        return nearest(probes, probe_key, self.df, "key", seen, name, by_ranges=by_ranges)
+
     def floor_entry(self, key):
         return self._near(key, "floor")
 

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ...functions.hashes import set_hash
 from ..seq import Seq, true
 from .handle import Handle
 
@@ -74,5 +75,8 @@ class FrameSet(Handle):
     def remove_if(self, condition) -> None:
         self._set(self.df.where(~true(condition)))
 
+    def hash_code(self) -> int:
+        return set_hash(self.df).first()[0]
+
     def equals(self, other: FrameSet) -> bool:
         return equal(self.df, other.df).first()[0]

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from ..functions import hashes
 from ..operators.containers import deques, lists, maps, navigable, sets
 from .registry import query
 
@@ -79,7 +80,9 @@ def _(t):
 
 @query("coll_remove_if", "SELECT event_id, value FROM events WHERE NOT value > 20")
 def _(t):
-    return t.df("events").where(~F.coalesce(F.expr("value > 20"), F.lit(False))).select("event_id", "value")
+    rows = sets.FrameSet(t.df("events").select("event_id", "value"))
+    rows.remove_if("value > 20")
+    return rows.df
 
 
 @query("list_remove_first", RENUMBER.format(USERS, f"pos <> (SELECT min(pos) FROM {USERS} WHERE value = 7)"))
@@ -87,14 +90,14 @@ def _(t):
     return lists.remove_first(users(t), 7)
 
 
-@query("list_equals", "SELECT false AS result")
+@query("list_equals", f"SELECT NOT EXISTS (SELECT 1 FROM {USERS} a JOIN (SELECT row_number() OVER (ORDER BY value, pos) - 1 AS pos, value FROM {USERS}) b ON a.pos = b.pos WHERE a.value IS DISTINCT FROM b.value) AS result")
 def _(t):
     return lists.equal(users(t), lists.sorted_list(users(t)))
 
 
 @query("list_get", f"SELECT value FROM {USERS} WHERE pos = 41")
 def _(t):
-    return users(t).where("pos = 41").select("value")
+    return t.spark.createDataFrame([(lists.FrameList(users(t)).get(41),)], "value long")
 
 
 @query("list_index_of", f"SELECT coalesce(min(pos), -1) AS result FROM {USERS} WHERE value = 11")
@@ -253,7 +256,7 @@ def _(t):
     return balances(t).select("key", (F.col("value") * 2).alias("value"))
 
 
-@query("map_equals", f"SELECT (SELECT count(*) FROM (SELECT * FROM {M} EXCEPT SELECT * FROM {N})) = 0 AS result")
+@query("map_equals", f"SELECT (SELECT count(*) FROM (SELECT * FROM {M} EXCEPT SELECT * FROM {N})) + (SELECT count(*) FROM (SELECT * FROM {N} EXCEPT SELECT * FROM {M})) = 0 AS result")
 def _(t):
     return maps.equal(balances(t), spent(t))
 
@@ -285,23 +288,15 @@ P = "(SELECT p_partkey AS key, p_name AS value FROM part)"
 
 @query("nav_first_last", f"SELECT min(key) AS first, max(key) AS last, arg_min(value, key) AS first_value, arg_max(value, key) AS last_value FROM {P}")
 def _(t):
-    return parts(t).df.agg(F.min("key").alias("first"), F.max("key").alias("last"), F.min_by("value", "key").alias("first_value"), F.max_by("value", "key").alias("last_value"))
+    first, last = parts(t).first_entry(), parts(t).last_entry()
+    return t.spark.createDataFrame([(first["key"], last["key"], first["value"], last["value"])], "first long, last long, first_value string, last_value string")
 
 
 @query("nav_poll_first", f"SELECT key, value FROM {P} WHERE key <> (SELECT min(key) FROM {P})")
 def _(t):
-    first = parts(t).df.agg(F.min("key").alias("k")).scalar()
-    return parts(t).df.where(F.col("key") != first)
-
-
-def near(t, kind):
-    probes = t.df("orders").where("o_orderkey < 5000").select("o_orderkey")
-    base = t.df("events").where("event_id % 3 = 0").select("event_id")
-    return navigable.nearest(probes, "o_orderkey", base, "event_id", kind)
-
-
-for _kind, _sign, _pick in (("floor", "<=", "max"), ("lower", "<", "max"), ("ceiling", ">=", "min"), ("higher", ">", "min")):
-    query(f"nav_{_kind}", f"SELECT o_orderkey, (SELECT {_pick}(e.event_id) FROM events e WHERE e.event_id % 3 = 0 AND e.event_id {_sign} o.o_orderkey) AS found FROM orders o WHERE o_orderkey < 5000")(lambda t, k=_kind: near(t, k))
+    left = parts(t)
+    left.poll_first_entry()
+    return left.df
 
 
 @query("nav_sub", f"SELECT key, value FROM {P} WHERE key >= 100 AND key < 200")
@@ -319,12 +314,6 @@ def _(t):
     return parts(t).tail_map(150, False).df
 
 
-@query("nav_floor_clamped", "SELECT o_orderkey, (SELECT max(e.event_id) FROM events e WHERE e.event_id >= 100 AND e.event_id < 300 AND e.event_id <= o.o_orderkey) AS found FROM orders o WHERE o_orderkey < 1000")
-def _(t):
-    fence = navigable.Fence(100, True, 300, False)
-    return navigable.nearest(t.df("orders").where("o_orderkey < 1000").select("o_orderkey"), "o_orderkey", t.df("events").where(fence.condition("event_id")).select("event_id"), "event_id", "floor")
-
-
 @query("nav_sub_of_sub", f"SELECT key, value FROM {P} WHERE key > 120 AND key <= 150")
 def _(t):
     return parts(t).sub_map(100, 200).sub_map(120, 150, False, True).df
@@ -343,19 +332,16 @@ def _(t):
     return parts(t).descending_map().head_map(150, True).df
 
 
-@query("nav_descending_floor", "SELECT o_orderkey, (SELECT min(e.event_id) FROM events e WHERE e.event_id % 3 = 0 AND e.event_id >= o.o_orderkey) AS found FROM orders o WHERE o_orderkey < 5000")
-def _(t):
-    return near(t, "ceiling")
+# Nearest keys: every order probes all events. Keys are spread (times 3, times 4) so that some are met, some
+# lie between two and the last lie behind all.
 
 
-# The same over whole tables: every order probes all events. Keys are spread (times 3, times 4) so that
-# some are met, some lie between two and the last lie behind all.
+def probes(t):
+    return t.df("orders").select("o_orderkey", (F.col("o_orderkey") * 3).alias("probe"))
 
 
-def whole(t, kind, fence=navigable.Fence()):
-    probes = t.df("orders").select("o_orderkey", (F.col("o_orderkey") * 3).alias("probe"))
-    base = t.df("events").select((F.col("event_id") * 4).alias("key")).where(fence.condition())
-    return navigable.nearest(probes, "probe", base, "key", kind)
+def spread(t):
+    return navigable.NavigableMap(t.df("events").select((F.col("event_id") * 4).alias("key"), F.col("user_id").alias("value")))
 
 
 def asof(sign, within="TRUE"):
@@ -363,17 +349,20 @@ def asof(sign, within="TRUE"):
 
 
 for _kind, _sign in (("floor", ">="), ("lower", ">"), ("ceiling", "<="), ("higher", "<")):
-    query(f"nav_{_kind}_all", asof(_sign))(lambda t, k=_kind: whole(t, k))
+    for _name in (f"nav_{_kind}", f"nav_{_kind}_all"):
+        query(_name, asof(_sign))(lambda t, k=_kind: spread(t).nearest(probes(t), "probe", k))
 
 
+@query("nav_descending_floor", asof("<="))
 @query("nav_descending_floor_all", asof("<="))
 def _(t):
-    return whole(t, "ceiling")
+    return spread(t).descending_map().nearest(probes(t), "probe", "floor")
 
 
+@query("nav_floor_clamped", asof(">=", "key >= 100 AND key < 300"))
 @query("nav_floor_clamped_all", asof(">=", "key >= 100 AND key < 300"))
 def _(t):
-    return whole(t, "floor", navigable.Fence(100, True, 300, False))
+    return spread(t).sub_map(100, 300).nearest(probes(t), "probe", "floor")
 
 
 @query("nav_key_set", f"SELECT key FROM {P} WHERE key < 100")
@@ -397,3 +386,18 @@ def _(t):
 @query("fac_maps_of", "SELECT unnest(['ada', 'alan', 'grace']) AS key, CAST(unnest([36, 41, 45]) AS INTEGER) AS value")
 def _(t):
     return maps.FrameMap.of(t.spark, {"ada": 36, "alan": 41, "grace": 45}).freeze().df
+
+
+@query("list_hash_code", "SELECT CAST(CASE WHEN h >= 2147483648 THEN h - 4294967296 ELSE h END AS INTEGER) AS result FROM (SELECT list_reduce(list_prepend(CAST(1 AS BIGINT), list(r_regionkey ORDER BY r_regionkey)::BIGINT[]), lambda h, x: (31 * h + x) % 4294967296) AS h FROM region)")
+def _(t):
+    return hashes.list_hash(t.seq("region", "r_regionkey").map(value="r_regionkey").with_position())
+
+
+@query("set_hash_code", "SELECT CAST(CASE WHEN h >= 2147483648 THEN h - 4294967296 ELSE h END AS INTEGER) AS result FROM (SELECT CAST(sum(c_custkey) % 4294967296 AS BIGINT) AS h FROM customer)")
+def _(t):
+    return hashes.set_hash(customers(t))
+
+
+@query("map_hash_code", "SELECT CAST(CASE WHEN h >= 2147483648 THEN h - 4294967296 ELSE h END AS INTEGER) AS result FROM (SELECT CAST(sum(xor(o_orderkey, o_custkey)) % 4294967296 AS BIGINT) AS h FROM orders)")
+def _(t):
+    return hashes.map_hash(t.df("orders").select(F.col("o_orderkey").alias("key"), F.col("o_custkey").alias("value")))

@@ -67,6 +67,11 @@ def _(t):
     return sources.concat(t.seq("customer", "c_custkey").map(value="c_custkey"), t.seq("supplier", "s_suppkey").map(value="s_suppkey")).with_position()
 
 
+@query("src_from_rows", "SELECT CAST(range AS BIGINT) AS pos, CAST(range * range AS INTEGER) AS value, 'r' || range AS name FROM range(25000) WHERE range < 20000")
+def _(t):
+    return sources.from_rows(t.spark, lambda: ((i * i, f"r{i}") for i in range(20000)), "value int, name string").with_position()
+
+
 @query("src_range", "SELECT range AS value FROM range(5, 5000)")
 def _(t):
     return sources.int_range(t.spark, 5, 5000).frame()
@@ -254,12 +259,41 @@ def _(t):
     return t.seq("events", "user_id").gather(sums).gather(G.window_fixed(5)).map(value=F.aggregate("window", F.lit(0).cast("long"), lambda a, x: a + x)).frame()
 
 
+@query("gather_fold_any", "SELECT CAST(list_reduce(list_prepend(CAST(7 AS BIGINT), list(n_regionkey ORDER BY n_nationkey)::BIGINT[]), lambda a, x: (a * 31 + x) % 1000003) AS BIGINT) AS value FROM nation")
+def _(t):
+    return t.seq("nation", "n_regionkey").gather(G.fold(F.lit(7).cast("long"), lambda a, x: (a * 31 + x) % 1000003, "n_regionkey")).frame()
+
+
+@query("gather_scan_any", "WITH RECURSIVE v AS (SELECT row_number() OVER (ORDER BY n_nationkey) AS i, n_regionkey AS x FROM nation), r(i, value) AS (SELECT CAST(0 AS BIGINT), CAST(7 AS BIGINT) UNION ALL SELECT v.i, CAST((r.value * 31 + v.x) % 1000003 AS BIGINT) FROM r JOIN v ON v.i = r.i + 1) SELECT i AS pos, value FROM r")
+def _(t):
+    return t.seq("nation", "n_regionkey").gather(G.scan(F.lit(7).cast("long"), lambda a, x: (a * 31 + x) % 1000003, "n_regionkey")).with_position()
+
+
+@query("gather_of_reversed", "SELECT row_number() OVER (ORDER BY event_id DESC, i) - 1 AS pos, value, kind FROM (SELECT event_id, unnest([0, 1]) AS i, CAST(unnest([event_id % 1000, -(event_id % 1000)]) AS INTEGER) AS value, unnest([event_type, 'again']) AS kind FROM events WHERE user_id % 3 = 0)")
+def _(t):
+    def emit(_, row):
+        if row[1] % 3 == 0:
+            yield (row[0] % 1000, row[2])
+            yield (-(row[0] % 1000), "again")
+
+    return t.seq("events", "event_id", "user_id", "event_type").reversed().gather(G.of(emit, "value int, kind string")).with_position()
+
+
+@query("gather_of_sequential_mixed", "SELECT row_number() OVER (ORDER BY event_id) - 1 AS pos, CAST(row_number() OVER (ORDER BY event_id) AS INTEGER) AS n, event_type AS kind FROM events")
+def _(t):
+    def add(state, row):
+        state[0] += 1
+        yield (state[0], row[0])
+
+    return t.seq("events", "event_type").gather(G.of_sequential(lambda: [0], add, "n int, kind string")).with_position()
+
+
 # Terminals
 
 
 @query("term_count", "SELECT count(*) AS n FROM events WHERE value > 50")
 def _(t):
-    return events(t).filter("value > 50").aggregate(n=F.count("*"))
+    return t.spark.createDataFrame([(events(t).filter("value > 50").count(),)], "n long")
 
 
 @query("term_to_array", "SELECT event_id FROM events WHERE user_id = 7")
@@ -332,6 +366,27 @@ def _(t):
     return events(t).collect(result=C.reducing("CAST(length(event_type) AS BIGINT)", F.sum, F.lit(0).cast("long"), lambda i, x: i + x))
 
 
+@query("term_reduce_any", "SELECT list_reduce(list(n_name ORDER BY n_nationkey), lambda a, x: '(' || a || '-' || x || ')') AS result FROM nation")
+def _(t):
+    return t.seq("nation", "n_name").reduce("n_name", lambda a, x: F.concat(F.lit("("), a, F.lit("-"), x, F.lit(")")))
+
+
+@query("term_reduce_identity_any", "SELECT list_reduce(list_prepend('0', list(n_name ORDER BY n_nationkey)), lambda a, x: '(' || a || '-' || x || ')') AS result FROM nation")
+def _(t):
+    return t.seq("nation", "n_name").reduce("n_name", lambda a, x: F.concat(F.lit("("), a, F.lit("-"), x, F.lit(")")), "0")
+
+
+@query("term_collect_python", "SELECT count(*) AS n, CAST(sum(length(n_name)) AS BIGINT) AS letters FROM nation")
+def _(t):
+    box = t.seq("nation", "n_name").collect_python(lambda: (0, 0), lambda b, row: (b[0] + 1, b[1] + len(row[0])), lambda a, b: (a[0] + b[0], a[1] + b[1]))
+    return t.spark.createDataFrame([box], "n long, letters long")
+
+
+@query("term_sum_any_double", "SELECT round(fsum(l_extendedprice * l_tax / 7), 3) AS result FROM lineitem")
+def _(t):
+    return t.seq("lineitem", "l_extendedprice", "l_tax").sum_double("l_extendedprice * l_tax / 7").select(F.round("result", 3).alias("result"))
+
+
 @query("term_min", "SELECT event_id, value FROM events ORDER BY value, event_id LIMIT 1")
 def _(t):
     return t.seq("events", "event_id", "value").min("value")
@@ -509,6 +564,42 @@ def _(t):
     return events(t).partitioning_by("value > 1e9", n=C.counting())
 
 
+@query("col_partitioning_by_empty", f"SELECT k.key, coalesce(a.ids, '') AS ids, coalesce(a.n, 0) AS n FROM (SELECT false AS key UNION ALL SELECT true) k LEFT JOIN (SELECT value > 1e9 AS key, {IDS} AS ids, count(DISTINCT user_id) AS n FROM events GROUP BY 1) a ON a.key = k.key")
+def _(t):
+    return events(t).partitioning_by("value > 1e9", ids=text(C.to_list("event_id")), n=C.collecting_and_then(C.to_set("user_id"), lambda v: F.size(v).cast("long")))
+
+
+@query("col_flat_mapping_beside", "SELECT n_regionkey AS key, count(*) AS n, CAST(sum(length(n_name)) AS BIGINT) AS letters, max(n_name) AS last FROM nation GROUP BY 1")
+def _(t):
+    seq = t.seq("nation", "n_name", "n_regionkey")
+    return seq.grouping_by({"key": "n_regionkey"}, n=C.counting(), letters=C.flat_mapping(F.split("n_name", ""), lambda c: C.counting()), last=C.reducing("n_name", F.max))
+
+
+@query("col_teeing_flat_mapping", "SELECT n_regionkey AS key, CAST(sum(length(n_name)) * 100 + count(*) AS BIGINT) AS r FROM nation GROUP BY 1")
+def _(t):
+    seq = t.seq("nation", "n_name", "n_regionkey")
+    return seq.grouping_by({"key": "n_regionkey"}, r=C.teeing(C.counting(), C.flat_mapping(F.split("n_name", ""), lambda c: C.counting()), lambda n, m: m * 100 + n))
+
+
+@query("col_filtering_to_map", "SELECT o_custkey AS key, min(o_orderkey) AS value FROM orders WHERE o_orderkey IN (SELECT min(o_orderkey) FROM orders GROUP BY o_custkey) AND o_custkey % 2 = 0 GROUP BY 1")
+def _(t):
+    firsts = t.df("orders").groupBy(F.col("o_custkey").alias("c")).agg(F.min("o_orderkey").alias("first"))
+    marked = t.df("orders").join(firsts, F.col("o_custkey") == F.col("c")).select("o_orderkey", "o_custkey", (F.col("o_orderkey") == F.col("first")).alias("is_first"))
+    return sources.of_frame(marked, "o_orderkey").grouping_by({"key": "o_custkey"}, value=C.filtering("is_first AND o_custkey % 2 = 0", C.to_map("o_orderkey")))
+
+
+@query("col_max_by_text_order", "SELECT c_mktsegment AS key, arg_max(c_custkey, {'a': floor(c_acctbal / 1000), 'b': -rn}) AS id FROM (SELECT *, row_number() OVER (ORDER BY c_name) AS rn FROM customer) GROUP BY 1")
+def _(t):
+    rows = sources.of_frame(t.df("customer").select("c_name", "c_custkey", "c_mktsegment", "c_acctbal"), "c_name")
+    return rows.grouping_by({"key": "c_mktsegment"}, id=C.max_by("floor(c_acctbal / 1000)", "c_custkey"))
+
+
+@query("col_summarizing_any_double", 'SELECT l_returnflag AS key, count(*) AS "count", round(fsum(l_extendedprice * l_tax / 7), 3) AS "sum", min(l_extendedprice * l_tax / 7) AS "min", max(l_extendedprice * l_tax / 7) AS "max" FROM lineitem GROUP BY 1')
+def _(t):
+    s = t.seq("lineitem", "l_returnflag", "l_extendedprice", "l_tax").grouping_by({"key": "l_returnflag"}, s=C.summarizing("l_extendedprice * l_tax / 7", "double"))
+    return s.select("key", "s.count", F.round("s.sum", 3).alias("sum"), "s.min", "s.max")
+
+
 def summary(t, value, kind):
     return by_type(t, s=C.summarizing(value, kind)).select("key", "s.*")
 
@@ -604,7 +695,7 @@ def _(t):
 
 def maybe(t):
     """Orders with their price where it is over 200000."""
-    return t.df("orders").select("o_orderkey", F.when(F.col("o_totalprice") > 200000, F.col("o_custkey")).alias("x"))
+    return t.df("orders").select("o_orderkey", optional.of_nullable(F.col("o_custkey"), F.col("o_totalprice") > 200000).alias("x"))
 
 
 MAYBE = "(SELECT o_orderkey, CASE WHEN o_totalprice > 200000 THEN o_custkey END AS x FROM orders)"
@@ -617,7 +708,7 @@ def _(t):
 
 @query("opt_is_present", f"SELECT o_orderkey, x IS NOT NULL AS present, x IS NULL AS absent FROM {MAYBE}")
 def _(t):
-    return maybe(t).select("o_orderkey", F.col("x").isNotNull().alias("present"), F.col("x").isNull().alias("absent"))
+    return maybe(t).select("o_orderkey", optional.is_present(F.col("x")).alias("present"), optional.is_empty(F.col("x")).alias("absent"))
 
 
 @query("opt_or_else", f"SELECT o_orderkey, coalesce(x, -1) AS x FROM {MAYBE}")
@@ -632,12 +723,12 @@ def _(t):
 
 @query("opt_map", f"SELECT o_orderkey, x * 2 AS x FROM {MAYBE}")
 def _(t):
-    return maybe(t).select("o_orderkey", (F.col("x") * 2).alias("x"))
+    return maybe(t).select("o_orderkey", optional.mapped(F.col("x"), lambda x: x * 2).alias("x"))
 
 
 @query("opt_flat_map", f"SELECT o_orderkey, CASE WHEN x % 2 = 0 THEN x + 1 END AS x FROM {MAYBE}")
 def _(t):
-    return maybe(t).select("o_orderkey", F.when(F.col("x") % 2 == 0, F.col("x") + 1).alias("x"))
+    return maybe(t).select("o_orderkey", optional.flat_mapped(F.col("x"), lambda x: F.when(x % 2 == 0, x + 1)).alias("x"))
 
 
 @query("opt_filter", f"SELECT o_orderkey, CASE WHEN x > 500 THEN x END AS x FROM {MAYBE}")

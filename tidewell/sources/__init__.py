@@ -2,10 +2,14 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Iterable
+from itertools import islice
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
+from pyspark.sql.pandas.types import to_arrow_schema
 
 from ..errors import IllegalArgumentException, IllegalStateException
 from ..operators.seq import Seq, true
@@ -36,6 +40,22 @@ def of_frame(df: DataFrame, order_by: str | list[str] | list[Key], size: int | N
 of_range = of_frame
 
 
+def from_rows(spark: SparkSession, rows: Callable[[], Iterable], schema: str = "value int", size_hint: int | None = None, budget: int | None = None, parallel: bool = False, close: Callable[[], None] | None = None) -> Seq:
+    """A source of one's own: rows() gives values or tuples one after the other. It runs in one task, when the rows are
+    asked for, and streams in batches; `size_hint`, `budget` and `close` are what the sequence tells or does."""
+    declared = T.StructType([T.StructField("_o0", T.LongType()), *spark.createDataFrame([], schema).schema])
+    arrow = to_arrow_schema(declared)
+
+    def run(batches):
+        if not any(b.num_rows for b in batches):
+            return
+        numbered_rows = ((n, *(r if isinstance(r, tuple) else (r,))) for n, r in enumerate(rows()))
+        while held := list(islice(numbered_rows, 10_000)):
+            yield pa.RecordBatch.from_arrays([pa.array(list(v), f.type) for v, f in zip(zip(*held), arrow)], schema=arrow)
+
+    return Seq(spark.range(0, 1, 1, 1).mapInArrow(run, declared), [Key("_o0")], budget, size_hint, parallel, [close] if close else [])
+
+
 def parquet(spark: SparkSession, path: str, order_by: str | list[str]) -> Seq:
     return of_frame(spark.read.parquet(path), order_by)
 
