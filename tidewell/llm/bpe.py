@@ -67,7 +67,7 @@ _NONE: dict = {}
 class Bpe:
     """Encoder and decoder of a word-level BPE file with byte letters and word ends. Its two caches hold two generations of `cache_bytes` each, its table of pairs `most_pairs`."""
 
-    def __init__(self, path: str, cache_bytes: int = 20 << 20, most_pairs: int = 200_000):
+    def __init__(self, path: str, cache_bytes: int = 40 << 20, most_pairs: int = 200_000):
         spec = json.load(open(path, encoding="utf-8"))
         model = spec["model"]
         self.vocab: dict[str, int] = model["vocab"]
