@@ -67,7 +67,7 @@ _NONE: dict = {}
 class Bpe:
     """Encoder and decoder of a word-level BPE file with byte letters and word ends. Its two caches hold two generations of `cache_bytes` each, its table of pairs `most_pairs`."""
 
-    def __init__(self, path: str, cache_bytes: int = 40 << 20, most_pairs: int = 200_000):
+    def __init__(self, path: str, cache_bytes: int = 80 << 20, most_pairs: int = 200_000):
         spec = json.load(open(path, encoding="utf-8"))
         model = spec["model"]
         self.vocab: dict[str, int] = model["vocab"]
@@ -78,6 +78,7 @@ class Bpe:
             self.merge.setdefault((ids[a], ids[b]), (rank, ids[a + b]))
         self.special = {t["content"]: t["id"] for t in spec["added_tokens"]}
         self.special_re = regex.compile("|".join(map(regex.escape, sorted(self.special, key=len, reverse=True)))) if self.special else None
+        self.special_first = {t[0] for t in self.special}
         self.pre_re = regex.compile(PRE_TOKEN)
         self.letters = {i: c for i, c in enumerate(byte_letters())}
         names = {i: t for t, i in [*ids.items(), *self.special.items()]}
@@ -162,12 +163,23 @@ class Bpe:
 
     def word_ids(self, word: str) -> list[int]:
         """The tokens of one pre-token, by longest matches and backtracking."""
-        text = word + "\n" if word.isascii() and word.isalnum() else "".join(map(self.letters.__getitem__, word.encode("utf-8"))) + "\n"
-        n = len(text)
-        length, shorter, matches = self.length, self.shorter, self.automaton.iter_long
+        text = word + "\n" if word.isascii() and word.isprintable() else "".join(map(self.letters.__getitem__, word.encode("utf-8"))) + "\n"
+        compatible, n = self.compatible, len(text)
         out: list[int] = []
+        end, fitting = 0, None
+        for last, token in self.automaton.iter_long(text):  # the longest matches one after the other, as long as they are compatible
+            if fitting is not None and not fitting.get(token):
+                break
+            out.append(token)
+            end = last + 1
+            fitting = compatible.get(token, _NONE)
+        else:
+            if end == n:
+                return out
+            token = -1
+        length, shorter, matches = self.length, self.shorter, self.automaton.iter_long
         dead = {n - 1}  # no token is a word's end alone
-        place, token, fitting = 0, next(matches(text))[1], None
+        place = end
         while True:
             while token >= 0:
                 end = place + length[token]
@@ -191,7 +203,10 @@ class Bpe:
         return array("I", self.word_ids(word)).tobytes()
 
     def _plain(self, text: str) -> bytes:
-        if not text.isascii():
+        if text.isascii():
+            if text.isalpha():
+                return self._word(text.lower())
+        else:
             text = unicodedata.normalize("NFC", text)
         text = text.lower() if "Σ" not in text else "".join(c.lower() for c in text)
         words = self.pre_re.findall(text)
@@ -200,7 +215,7 @@ class Bpe:
     def _chunk(self, chunk: bytes) -> bytes:
         """The ids of a run of bytes without ASCII white space; no token and no special token crosses that."""
         text = chunk.decode("utf-8")
-        if self.special_re is None or not (hits := list(self.special_re.finditer(text))):
+        if not any(map(text.__contains__, self.special_first)) or not (hits := list(self.special_re.finditer(text))):
             return self._plain(text)
         out, at = [], 0
         for m in hits:
