@@ -199,7 +199,7 @@ def brute_passages(rows, length):
     return out
 
 
-@pytest.mark.parametrize("options", [{}, {"batch_windows": 256, "fan_in": 2}, {"batch_windows": 300, "family": 3}])
+@pytest.mark.parametrize("options", [{}, {"batch_windows": 256, "fan_in": 2}, {"batch_windows": 300, "family": 3}, {"frequent": 1, "classes": 8, "batch_windows": 256, "fan_in": 2}, {"frequent": 2, "classes": 3}])
 def test_passages(spark, options):
     rows = corpus()
     got = suffix_dedup.removal_digests(clashing(frame(spark, rows)), **options).collect()
@@ -213,13 +213,45 @@ def test_passages_in_segments(spark, monkeypatch):
     monkeypatch.setattr(suffix_dedup, "SEGMENT", 700)
     windows = Counter()
     for p, owner, offset in suffix_dedup.segments([(r[1] or "").encode() for r in rows], 100):
-        piece, at, count, _ = suffix_dedup.minimizer_runs(p, 100, 32)
+        piece, at, count, *_ = suffix_dedup.minimizer_runs(p, 100, 32)
         begins = np.concatenate([[0], np.cumsum([len(x) for x in p])[:-1]]).astype(int)
         for i, a, n in zip(piece, at, count):
             windows.update((int(owner[i]), int(offset[i] + a - begins[i] + j)) for j in range(n))
     assert windows == Counter((i, p) for i, r in enumerate(rows) for p in range(len((r[1] or "").encode()) - 99))
 
 
+def test_frequent_minimizers_are_split():
+    """A line of 80 bytes in different surroundings: windows around one minimizer are dealt out, equal ones to one place."""
+    rng = random.Random(3)
+    text = lambda n: "".join(rng.choice("abcdefgh ") for _ in range(n)).encode()
+    line = text(80)
+    pieces = [text(60) + line + text(60) for _ in range(60)]
+    pieces += [p[10:-10] for p in pieces]  # each window of these stands in one before
+    piece, at, count, anchor, lead = suffix_dedup.minimizer_runs(pieces, 100, 32)
+    order = np.lexsort((at, piece))
+    piece, at, count, anchor, lead = piece[order], at[order], count[order], anchor.view(np.int64)[order], lead[order]
+    raw = np.frombuffer(b"".join(pieces), dtype=np.uint8)
+    often = [a for a, n in Counter(anchor.tolist()).items() if n > 4]
+    begins = np.concatenate([[0], np.cumsum([len(p) for p in pieces])[:-1]])
+    zero = np.zeros(len(piece), dtype=np.int32)
+
+    def shipped(split, some):
+        index = suffix_dedup.LogIndex(100)
+        sent = suffix_dedup._sifted(lambda: index, raw, 100, anchor[some], piece[some], zero[some], (at - begins[piece])[some], at[some], count[some], 0, 1 << 12, True, split)
+        return [(r["anchor"], r["bytes"][i : i + 100]) for b in sent for r in b.to_pylist() if r["bytes"] for i in range(r["windows"])]
+
+    def split(some):
+        return suffix_dedup.Split(np.isin(anchor, often)[some], lead[some], 32, 8)
+
+    early, late = piece < 60, piece >= 60
+    whole, first, second = shipped(None, early), shipped(split(early), early), shipped(split(late), late)
+    assert Counter(w for _, w in first) == Counter(w for _, w in whole)  # no window is lost or doubled
+    where = {w: a for a, w in first}
+    assert second and all(where[w] == a for a, w in second)  # equal windows meet
+    most = [max(Counter(a for a, _ in sent).values()) for sent in (whole, first)]
+    assert most[1] * 8 < most[0]
+
+
 def test_passages_of_odd_rows(spark):
     text = "abcdefghij" * 15
     rows = [(7, text, None, None, None), (7, text, None, None, None), (None, text, None, None, None), (9, text, None, None, None)]

@@ -12,6 +12,10 @@ order whose longest common prefix is a whole window are matches. What is new bec
 text and suffix array, and levels of like size merge, so there are logarithmically many. The tasks that
 cut the runs send them through such a family first, so of what is frequent each sends one copy on; where
 there are many tasks, groups of them are merged before all are.
+
+A minimizer of very many documents doesn't send all its windows to one place: a run's windows are dealt out by
+where in the window the minimizer begins, in a few classes of neighbouring places, and by the bytes that
+all windows of the class have in common. Equal windows agree in both, so they still meet.
 """
 
 from __future__ import annotations
@@ -26,7 +30,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import byte_codes, discard, few_ids_join, mixed, powers, prefix_hash, raw_column, small_batches, stored, worker_cache
+from .common import byte_codes, discard, few_ids_join, mixed, powers, prefix_hash, raw_column, small_batches, span_hash, stored, worker_cache
 
 _U = np.uint64
 _PLACE_BITS = 28
@@ -34,12 +38,12 @@ SEGMENT = 1 << 20
 
 
 def minimizer_runs(pieces: list[bytes], length: int, k: int) -> tuple[np.ndarray, ...]:
-    """Runs of windows with one minimizer in pieces of text: (piece, start in the joined pieces, windows, minimizer's hash)."""
+    """Runs of windows with one minimizer in pieces of text: (piece, start in the joined pieces, windows, minimizer's hash, how far behind the start it begins)."""
     raw = np.frombuffer(b"".join(pieces), dtype=np.uint8)
     n, w = len(raw), length - k + 1
     if n < length:
         none = np.zeros(0, dtype=np.int64)
-        return none, none, none, none.astype(np.uint64)
+        return none, none, none, none.astype(np.uint64), none
     prefix = prefix_hash(byte_codes(raw))
     grams = mixed((prefix[k:] - prefix[:-k]) * powers(n - k + 1, True))
     low = (grams >> _U(_PLACE_BITS) << _U(_PLACE_BITS)) | np.arange(len(grams), dtype=np.uint64)
@@ -59,7 +63,7 @@ def minimizer_runs(pieces: list[bytes], length: int, k: int) -> tuple[np.ndarray
     last = whole & np.concatenate([turn | ~whole[1:], [True]])
     start = np.flatnonzero(first)
     count = np.flatnonzero(last) - start + 1
-    return np.searchsorted(ends, start, side="right"), start, count, grams[place[start]]
+    return np.searchsorted(ends, start, side="right"), start, count, grams[place[start]], place[start] - start
 
 
 def segments(texts: list, length: int):
@@ -89,7 +93,7 @@ def _anchors(length: int, k: int):
         for batch in batches:
             ids = batch.column("doc_id").to_numpy(zero_copy_only=False)
             for pieces, owner, _ in segments(raw_column(batch, "text"), length):
-                piece, _, _, anchor = minimizer_runs(pieces, length, k)
+                piece, _, _, anchor, _ = minimizer_runs(pieces, length, k)
                 text = owner[piece] if len(piece) else piece
                 order = np.lexsort((anchor, text))
                 anchor, text = anchor[order], text[order]
@@ -214,8 +218,34 @@ RUNS = pa.schema([("anchor", pa.int64()), ("part", pa.int32()), ("doc_id", pa.in
 RUNS_SQL = "anchor long, part int, doc_id long, sub int, start long, windows int, bytes binary"
 
 
-def _sifted(index_of, raw, length, anchor, doc, sub, start, base, count, part, batch_windows, ship):
-    """Sends runs (sorted by doc, sub and start; bytes at `base` in raw) through indexes in batches: rows of matches (no bytes) and, if they are to be shipped, of new runs."""
+@dataclass
+class Split:
+    """How the windows of frequent minimizers are dealt out: which runs have one, how far behind the run's start it begins, and in how many classes of places."""
+
+    frequent: np.ndarray
+    lead: np.ndarray
+    k: int
+    classes: int
+
+    def of(self, run: np.ndarray, inside: np.ndarray, length: int) -> tuple[np.ndarray, int]:
+        """The class of each window (0 in other runs), and the places in a class."""
+        step = -(-(length - self.k + 1) // self.classes)
+        return np.where(self.frequent[run], (self.lead[run] - inside) // step, 0), step
+
+    def anchors(self, raw: np.ndarray, anchor: np.ndarray, base: np.ndarray, own: np.ndarray, kind: np.ndarray, step: int, length: int) -> np.ndarray:
+        """The anchors of pieces of the runs `own`, of the classes `kind`: those of frequent ones mixed with what the class has in common."""
+        out = anchor[own].copy()
+        some = np.flatnonzero(self.frequent[own])
+        if len(some):
+            row, low = own[some], kind[some] * step
+            at = base[row] + self.lead[row]
+            common = span_hash(prefix_hash(byte_codes(raw)), at - low, at - np.minimum(low + step - 1, length - self.k) + length)
+            out[some] = mixed(out[some].view(np.uint64) ^ common ^ mixed(low.astype(np.uint64), 5)).view(np.int64)
+        return out
+
+
+def _sifted(index_of, raw, length, anchor, doc, sub, start, base, count, part, batch_windows, ship, split=None):
+    """Sends runs (sorted by doc, sub and start; bytes at `base` in raw) through indexes in batches: rows of matches (no bytes) and, if they are to be shipped, of new runs, those of frequent minimizers split."""
     begin = 0
     total = np.cumsum(count)
     while begin < len(count):
@@ -224,19 +254,23 @@ def _sifted(index_of, raw, length, anchor, doc, sub, start, base, count, part, b
         run = np.repeat(np.arange(end - begin), count[rows])
         inside = np.arange(len(run)) - np.repeat(np.cumsum(count[rows]) - count[rows], count[rows])
         at, place = base[rows][run] + inside, start[rows][run] + inside
-        earlier, _, (c, d, text, bounds) = index_of().add(raw, at, run, (doc[rows][run], sub[rows][run], place))
+        kind, step = split.of(run + begin, inside, length) if split else (np.zeros(len(run), dtype=np.int64), 1)
+        cuts = run * (kind.max(initial=0) + 1) + kind
+        earlier, _, (c, d, text, bounds) = index_of().add(raw, at, cuts, (doc[rows][run], sub[rows][run], place))
         a, b = stretches(earlier, run)
+        anchors = anchor[rows][run[a]]
         content = pa.nulls(len(a), pa.binary())
         if ship:
+            anchors = np.concatenate([anchors, split.anchors(raw, anchor, base, run[c] + begin, kind[c], step, length) if split else anchor[rows][run[c]]])
             a, b = np.concatenate([a, c]), np.concatenate([b, d])
             new = pa.Array.from_buffers(pa.binary(), len(c), [None, pa.py_buffer(bounds.astype(np.int32)), pa.py_buffer(text)])
             content = pa.concat_arrays([content, new])
         own = run[a]
-        yield pa.record_batch([pa.array(anchor[rows][own]), pa.array(np.full(len(a), part, dtype=np.int32)), pa.array(doc[rows][own]), pa.array(sub[rows][own]), pa.array(place[a]), pa.array((b - a + 1).astype(np.int32)), content], schema=RUNS)
+        yield pa.record_batch([pa.array(anchors), pa.array(np.full(len(a), part, dtype=np.int32)), pa.array(doc[rows][own]), pa.array(sub[rows][own]), pa.array(place[a]), pa.array((b - a + 1).astype(np.int32)), content], schema=RUNS)
         begin = end
 
 
-def _cut(length: int, k: int, batch_windows: int, family: int):
+def _cut(length: int, k: int, batch_windows: int, family: int, classes: int):
     """Documents (sorted by doc_id, sub) with the minimizers that are repeated -> runs, sifted by a family of suffix arrays that spans the task's batches (a new one after `family` of them, which bounds memory)."""
 
     def run(batches):
@@ -253,18 +287,21 @@ def _cut(length: int, k: int, batch_windows: int, family: int):
             wanted = batch.column("anchors")
             sizes = np.diff(wanted.offsets.to_numpy())
             repeated = mixed(wanted.flatten().to_numpy().view(np.uint64) ^ mixed(np.repeat(np.arange(len(ids)), sizes).astype(np.uint64), 3))
+            frequent = np.unique(batch.column("frequent").flatten().to_numpy())
             for pieces, owner, offset in segments(raw_column(batch, "text"), length):
-                piece, at, count, anchor = minimizer_runs(pieces, length, k)
+                piece, at, count, anchor, lead = minimizer_runs(pieces, length, k)
                 if not len(piece):
                     continue
                 text = owner[piece]
                 keep = np.isin(mixed(anchor ^ mixed(text.astype(np.uint64), 3)), repeated)
-                piece, at, count, anchor, text = piece[keep], at[keep], count[keep], anchor[keep], text[keep]
+                piece, at, count, anchor, lead, text = piece[keep], at[keep], count[keep], anchor[keep], lead[keep], text[keep]
                 begins = np.concatenate([[0], np.cumsum([len(p) for p in pieces])[:-1]])
                 start, doc, sub = at - begins[piece] + offset[piece], ids[text], subs[text]
                 order = np.lexsort((start, sub, doc))
                 raw = np.frombuffer(b"".join(pieces), dtype=np.uint8)
-                yield from _sifted(index, raw, length, anchor.view(np.int64)[order], doc[order], sub[order], start[order], at[order], count[order], part, batch_windows, True)
+                anchor = anchor.view(np.int64)[order]
+                split = Split(np.isin(anchor, frequent), lead[order], k, classes) if len(frequent) else None
+                yield from _sifted(index, raw, length, anchor, doc[order], sub[order], start[order], at[order], count[order], part, batch_windows, True, split)
 
     return run
 
@@ -324,7 +361,7 @@ def whole_copies(docs: DataFrame, length: int = 100, broadcast_rows: int = 1_000
     return stored(long.join(F.broadcast(firsts) if few else firsts, "print").where("doc_id > first").select("doc_id", "print").distinct(), "copies")
 
 
-def repeated_spans(docs: DataFrame, copies: DataFrame, then, schema: str, length: int = 100, k: int = 32, batch_windows: int = 1 << 15, fan_in: int = 256, family: int = 16) -> DataFrame:
+def repeated_spans(docs: DataFrame, copies: DataFrame, then, schema: str, length: int = 100, k: int = 32, batch_windows: int = 1 << 15, fan_in: int = 256, family: int = 16, frequent: int = 4096, classes: int = 8) -> DataFrame:
     """What `then` makes of Arrow batches (doc_id, print, text, begins, ends): the byte spans of each document of `docs` (from prepared())
     that are covered by a string of `length` bytes that also starts earlier (smaller doc_id, or same document and smaller start). Left
     out: documents without any, and whole copies, whose strings all stand in their first one.
@@ -333,19 +370,21 @@ def repeated_spans(docs: DataFrame, copies: DataFrame, then, schema: str, length
     same doc_id and text are one document: its strings don't stand earlier than themselves. Different
     texts with one doc_id are documents one after the other, in an order that is always the same. Long
     texts are cut into overlapping segments, so a text of any length takes the memory of a segment here;
-    its row has to fit an Arrow batch.
+    its row has to fit an Arrow batch. Minimizers that come up more than `frequent` times are split in `classes`
+    (at 8, 32 and 100 bytes, what still goes to one place has 92 bytes in common).
     """
     spark = docs.sparkSession
     small_batches(spark)
     docs = few_ids_join(docs.where(f"doc_id IS NOT NULL AND octet_length(text) >= {length}"), copies, ["doc_id", "print"], "left_anti")
     lists = stored(docs.select("doc_id", "text").mapInArrow(_anchors(length, k), "doc_id long, anchors array<long>"), "minimizers")
     anchors = lists.select("doc_id", F.explode("anchors").alias("anchor"))
-    counted = anchors.groupBy("anchor").agg(F.count("*").alias("n")).where("n > 1").select("anchor")
-    wanted = stored(anchors.join(counted, "anchor").groupBy("doc_id").agg(F.collect_set("anchor").alias("anchors")), "anchors")
+    counted = anchors.groupBy("anchor").agg(F.count("*").alias("n")).where("n > 1")
+    wanted = anchors.join(counted, "anchor").groupBy("doc_id").agg(F.collect_set("anchor").alias("anchors"), F.collect_set(F.when(F.col("n") > frequent, F.col("anchor"))).alias("frequent"))
+    wanted = stored(wanted, "anchors")
     discard(lists)
     total = wanted.agg(F.sum(F.size("anchors"))).first()[0] or 0
     candidates = stored(few_ids_join(docs, wanted.select("doc_id"), ["doc_id"], "left_semi").join(wanted, "doc_id").withColumn("sub", F.hash("print")), "candidates")
-    rows = candidates.select("doc_id", "sub", "text", "anchors").sortWithinPartitions("doc_id", "sub").mapInArrow(_cut(length, k, batch_windows, family), RUNS_SQL)
+    rows = candidates.select("doc_id", "sub", "text", "anchors", "frequent").sortWithinPartitions("doc_id", "sub").mapInArrow(_cut(length, k, batch_windows, family, classes), RUNS_SQL)
     buckets = max(1, math.ceil(total * (length - k) / 2 / (family // 2 * batch_windows)))
     bucket = F.when(F.col("bytes").isNotNull(), F.pmod("anchor", F.lit(buckets))).otherwise(F.pmod(F.xxhash64("doc_id", "start"), F.lit(buckets)))
     parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), candidates.rdd.getNumPartitions())
@@ -355,7 +394,7 @@ def repeated_spans(docs: DataFrame, copies: DataFrame, then, schema: str, length
         group *= fan_in
     rows = rows.groupBy(bucket.alias("bucket")).applyInArrow(_merged(length, batch_windows, False), RUNS_SQL)
     found = stored(rows.groupBy("doc_id", "sub").agg(F.collect_list(F.struct("start", "windows")).alias("found")), "found")
-    left = few_ids_join(candidates.drop("anchors"), found.select("doc_id", "sub"), ["doc_id", "sub"], "left_semi").join(found, ["doc_id", "sub"]).withColumn("n_bytes", F.octet_length("text"))
+    left = few_ids_join(candidates.drop("anchors", "frequent"), found.select("doc_id", "sub"), ["doc_id", "sub"], "left_semi").join(found, ["doc_id", "sub"]).withColumn("n_bytes", F.octet_length("text"))
     return left.mapInArrow(_spans(length, then), schema)
 
 
