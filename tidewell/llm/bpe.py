@@ -239,9 +239,9 @@ class Bpe:
         return self.decode_many(np.frombuffer(ids, dtype="<u4").astype(np.int64))[0][1:].tobytes().decode("utf-8")
 
 
-def loaded(path: str) -> Bpe:
-    """One encoder for each worker and file."""
-    return worker_cache("bpe", path, lambda: Bpe(path))
+def loaded(path: str, cache_bytes: int = 80 << 20) -> Bpe:
+    """One encoder for each worker, file and size of its caches."""
+    return worker_cache("bpe", (path, cache_bytes), lambda: Bpe(path, cache_bytes))
 
 
 def _digests(path: str, decode_tokens: int = 500_000):

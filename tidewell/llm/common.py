@@ -34,13 +34,17 @@ steady_memory()
 
 
 _held: dict[str, dict] = {}
+_last: list = [None]
 
 
 def worker_cache(kind: str | None, key=None, make=None):
-    """What a Python worker keeps between tasks, for one operator at a time: the caches of others go first. Without make, only that."""
+    """What a Python worker keeps between tasks, for one operator at a time: the caches of others, and memory that they freed, go first. Without make, only that."""
     for other in [k for k in _held if k != kind]:
         del _held[other]
+    if _last[0] != kind:
+        _last[0] = kind
         gc.collect()
+        pa.default_memory_pool().release_unused()
         with contextlib.suppress(OSError, AttributeError):
             ctypes.CDLL("libc.so.6").malloc_trim(0)
     if make is None:

@@ -21,13 +21,13 @@ from .bpe import loaded
 from .common import raw_column, stored
 
 
-def _pieces(path: str, capacity: int, end_id: int):
+def _pieces(path: str, capacity: int, end_id: int, cache_bytes: int):
     names = ["doc_id", "piece", "start", "length", "ids_crc32", "part", "nth"]
     schema = pa.schema([("doc_id", pa.int64()), ("piece", pa.int32()), ("start", pa.int64()), ("length", pa.int64()), ("ids_crc32", pa.int64()), ("part", pa.int32()), ("nth", pa.int64())])
     end = np.array([end_id], dtype="<u4").tobytes()
 
     def run(batches):
-        bpe = loaded(path)
+        bpe = loaded(path, cache_bytes)
         part = TaskContext.get().partitionId()
         seen = [0] * (capacity + 1)
         for batch in batches:
@@ -146,7 +146,7 @@ def _placed(plan: np.ndarray, capacity: int):
     return run
 
 
-def packed(docs: DataFrame, path: str, capacity: int = 2048, end_id: int = 0, broadcast_ranks: int = 1_000_000) -> DataFrame:
+def packed(docs: DataFrame, path: str, capacity: int = 2048, end_id: int = 0, broadcast_ranks: int = 1_000_000, cache_bytes: int = 80 << 20) -> DataFrame:
     """One row per piece of the rows of `docs` (doc_id, text): doc_id, piece, start, length, ids_crc32, sequence_id, offset.
 
     A document is its token ids, then end_id; only longer ones than `capacity` are cut, into pieces of
@@ -154,9 +154,10 @@ def packed(docs: DataFrame, path: str, capacity: int = 2048, end_id: int = 0, br
     tasks have; those counts (tasks x lengths) are summed in Spark, broadcast up to `broadcast_ranks` of
     them and joined by a shuffle of the pieces (without texts) beyond. Null and blank texts: the end id
     alone. Repeated rows: each is packed. An empty table: no rows. Other columns are ignored.
+    `cache_bytes` is what a generation of the encoder's caches may take (four in a worker): it trades memory for time, not results.
     """
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    pieces = stored(docs.mapInArrow(_pieces(path, capacity, end_id), "doc_id long, piece int, start long, length long, ids_crc32 long, part int, nth long"), "pieces")
+    pieces = stored(docs.mapInArrow(_pieces(path, capacity, end_id, cache_bytes), "doc_id long, piece int, start long, length long, ids_crc32 long, part int, nth long"), "pieces")
     counts = pieces.groupBy("part", "length").agg(F.count("*").alias("n"))
     before = Window.partitionBy("length").orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
     base = stored(counts.select("part", "length", "n", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("base")), "ranks")
