@@ -14,6 +14,10 @@ from tidewell.llm.common import stored, table
 from tidewell.llm.queries import tokenizer_path
 
 
+#: Of the encoder in the last stage, whose executors have grown in the stages before.
+PACKING_CACHE_BYTES = 10 << 20
+
+
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the repetition rules keep."""
     return repetition.passing(docs)
@@ -37,7 +41,7 @@ def passage_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 def packing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Token pieces and their places in sequences of 2048."""
-    return packing.packed(docs, tokenizer_path())
+    return packing.packed(docs, tokenizer_path(), cache_bytes=PACKING_CACHE_BYTES)
 
 
 STAGES = [("quality_rules", quality_rules), ("language", language), ("near_dedup", near_dedup), ("passage_dedup", passage_dedup), ("packing", packing_stage)]
