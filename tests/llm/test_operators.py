@@ -318,6 +318,49 @@ def test_top_k(spark):
     assert topk.best_matches(few.limit(0)).count() == 0
 
 
+def rows_made(df, node: str) -> int:
+    """Rows that the nodes of this name made when df was collected."""
+
+    def walk(plan):
+        name = plan.nodeName()
+        if name.startswith("AdaptiveSparkPlan"):
+            return walk(plan.executedPlan())
+        if "QueryStage" in name:
+            return walk(plan.plan())
+        own = plan.metrics().apply("numOutputRows").value() if name == node else 0
+        return own + sum(walk(plan.children().apply(i)) for i in range(plan.children().size()))
+
+    return walk(df._jdf.queryExecution().executedPlan())
+
+
+def best_by_force(rows, k, every):
+    whole = [(i, [math.floor(1024 * x) for x in v]) for i, v in rows]
+    scored = lambda q, a: sorted((-sum(x * y for x, y in zip(a, b)), i) for i, b in whole if i != q)[:k]
+    return {(q, r + 1, i, -s) for q, a in whole if q % every == 0 for r, (s, i) in enumerate(scored(q, a))}
+
+
+def test_top_k_traffic(spark, monkeypatch):
+    """Blocks of queries travel once for each slab, not once for each group."""
+    monkeypatch.setattr(topk, "SLABS", 4, raising=False)
+    rng = np.random.default_rng(7)
+    rows = [(i, [float(x) for x in rng.integers(-3, 4, 4) / 4]) for i in range(1200)]
+    df = topk.best_matches(spark.createDataFrame(rows, "vec_id long, embedding array<double>"), k=5, every=20, group_rows=30, block_groups=1)
+    assert {tuple(r) for r in df.collect()} == best_by_force(rows, 5, 20)
+    groups = 1200 / 30
+    assert groups <= rows_made(df, "Generate") <= 4 * (groups + 4)
+
+
+def test_top_k_kinds(spark):
+    """Sums beyond what floating point holds, copies and ties across groups, vectors of unlike length."""
+    rng = np.random.default_rng(8)
+    for size in (3, 2**13, 2**18):
+        rows = [(i, [float(x) / 1024 for x in rng.integers(-size * 1024, size * 1024, int(rng.integers(0, 6)))]) for i in range(150)]
+        rows += [(200 + i, rows[i % 10][1]) for i in range(100)] + [(300 + i, [0.5, 0.5]) for i in range(100)]
+        df = topk.best_matches(spark.createDataFrame(rows, "vec_id long, embedding array<double>"), every=10, group_rows=25, block_groups=3)
+        got = [tuple(r) for r in df.collect()]
+        assert set(got) == best_by_force(rows, 10, 10) and len(got) == len(set(got))
+
+
 # HTML
 
 
