@@ -63,6 +63,13 @@ def small_batches(spark: SparkSession, rows: int = 2000) -> None:
         spark.conf.set(key, str(rows))
 
 
+def small_messages(spark: SparkSession, megabytes: int = 16) -> None:
+    """Fewer bytes in an Arrow batch than Spark's default, for rows that are large; a smaller setting stays."""
+    key = "spark.sql.execution.arrow.maxBytesPerBatch"
+    if spark._jvm.org.apache.spark.network.util.JavaUtils.byteStringAsBytes(spark.conf.get(key)) > megabytes << 20:
+        spark.conf.set(key, f"{megabytes}m")
+
+
 def shared_dir(spark: SparkSession) -> str:
     """The folder that all executors see: spark.checkpoint.dir, or a temporary one where it is unset and all tasks run in this process."""
     found = spark.conf.get("spark.checkpoint.dir", None)

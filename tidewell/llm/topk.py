@@ -17,7 +17,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import stored
+from .common import small_messages, stored
 
 BLOCK = 64
 
@@ -231,6 +231,7 @@ def best_matches(vectors: DataFrame, k: int = 10, every: int = 100, scale: float
     than k others: all. Components have to stay below 2^53 when scaled. An empty table: no rows. Other
     columns are ignored.
     """
+    small_messages(vectors.sparkSession)
     kind = "array<float>" if dict(vectors.dtypes)["embedding"] == "array<float>" else "array<double>"  # half as much to deal out
     ordered = vectors.select(F.col("vec_id").cast("long").alias("vec_id"), F.col("embedding").cast(kind).alias("embedding")).where("vec_id IS NOT NULL AND embedding IS NOT NULL")
     parts = int(vectors.sparkSession.conf.get("spark.sql.shuffle.partitions"))
